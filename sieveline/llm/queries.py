@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, line_dedup, media_mpeg, packing, secrets, toxicity
+from . import decontaminate, html_extract, licenses, line_dedup, media_mpeg, ngram_join, packing, secrets, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_equal")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op3_decontaminate, op5_pack, op6_secrets, op7_toxicity, op8_line_dedup, op9_html_text, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op3_decontaminate, op4_ngram_join, op5_pack, op6_secrets, op7_toxicity, op8_line_dedup, op9_html_text, op10_licenses)}
 
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
