@@ -25,6 +25,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -262,8 +263,6 @@ def report(docs: DataFrame, **settings) -> DataFrame:
 
 def clean(docs: DataFrame, **settings) -> DataFrame:
     """docs, with their own columns, without the lines that are dropped; n_chars, if there, follows the text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, drops in batches:
