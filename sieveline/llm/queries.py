@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, line_dedup, media_mpeg, ngram_join, packing, secrets, toxicity
+from . import decontaminate, html_extract, licenses, line_dedup, media_mpeg, ngram_join, packing, secrets, suffix_dedup, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.store(table(spark, sf_dir, "documents")).drop("media")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept", "removed")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -47,6 +51,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op3_decontaminate, op4_ngram_join, op5_pack, op6_secrets, op7_toxicity, op8_line_dedup, op9_html_text, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op2_suffix_dedup, op3_decontaminate, op4_ngram_join, op5_pack, op6_secrets, op7_toxicity, op8_line_dedup, op9_html_text, op10_licenses)}
 
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
