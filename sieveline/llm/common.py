@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Bytes that a Python worker turns into Python objects at once, if rows are of one size.
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +57,8 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, setup: Callable[[], dict] | None = None) -> DataFrame:
-    """Run f once per Arrow batch: columns as lists in, columns as lists out.
+    """Run f on parts of Arrow batches of about PART_BYTES: columns as lists in, columns as lists out.
 
-    Batches are bounded in bytes and rows by the session (spark.sql.execution.arrow.*).
     setup runs once per task; what it returns is passed on as keyword arguments.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,22 +69,14 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = setup() if setup else {}
         for b in batches:
-            if b.num_rows and (out := f(b.to_pydict(), **extra)) is not None:
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
+            rows = max(1, b.num_rows * PART_BYTES // max(1, b.nbytes))
+            for at in range(0, b.num_rows, rows):
+                if (out := f(b.slice(at, rows).to_pydict(), **extra)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[c.name], c.type) for c in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def flat_text(column: pa.Array):
-    """The bytes of a whole string or binary array as one numpy array, with the offsets of its rows."""
-    import numpy as np
-
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
 def worker_cache() -> dict:
     """A dictionary that outlives tasks in a Python worker."""
     import sys
