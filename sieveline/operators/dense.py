@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+
 QUERY_BYTES, ROWS = 64 << 20, 4096
 
 
@@ -71,3 +73,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
     found = reduce(DataFrame.unionByName, map(one, range(passes)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rescore(pool: DataFrame, queries: DataFrame, vectors: DataFrame, dims: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
+    """The cosine of each (query_id, doc_id) of a pool; only the pool's vectors are read into the join."""
+    a, b = dims or (0, 1 << 20)
+    cut = lambda c: V.unit(F.slice(c, a + 1, b - a))
+    x = pool.select("query_id", "doc_id").join(vectors.select("doc_id", F.col("v").alias("__d")), "doc_id").join(F.broadcast(queries.select("query_id", F.col("v").alias("__q"))), "query_id")
+    return x.select("query_id", "doc_id", F.round(V.dot(cut(F.col("__q")), cut(F.col("__d"))), digits).alias("score"))

@@ -1,9 +1,9 @@
 """Queries over the standard tables, each with the SQL that gives the same rows."""
 
-from . import dense, lexical
+from . import dense, fusion, lexical, metrics
 from .registry import ORACLE, QUERIES
 
-MODULES = (dense, lexical)
+MODULES = (dense, fusion, lexical, metrics)
 
 
 def queries() -> dict:

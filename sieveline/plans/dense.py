@@ -26,9 +26,17 @@ def asked(t: Tables) -> DataFrame:
     return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
 
 
+HALVES = (None, (0, 32), (32, 64))
+
+
 def run(t: Tables, k: int, half: int = 0, **more) -> DataFrame:
     """The dense run over whole vectors (0) or a half (1, 2)."""
-    return D.search(asked(t), vectors(t), k, dims=(None, (0, 32), (32, 64))[half], **more)
+    return D.search(asked(t), vectors(t), k, dims=HALVES[half], **more)
+
+
+def rescored(t: Tables, pool: DataFrame, half: int) -> DataFrame:
+    """A pool's scores over a half."""
+    return D.rescore(pool, asked(t), vectors(t), HALVES[half])
 
 
 @query(f"WITH {PAIRS}, {run_sql('r', 's', 10)} SELECT query_id, doc_id, score, rank FROM r")
