@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ from .common import Scratch, map_batches, worker_cache
 
 SIZE, END_ID, PER_SHARD = 4096, 1, 20_000
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 500_000
+#: Chunks that a worker remembers; punctuation that may end a word (no apostrophe, which starts some pieces).
+CACHE = 1_200_000
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words:
@@ -52,7 +55,7 @@ class Words:
         ids = self.tokenizer.get_vocab()
         self.last = np.zeros(max(ids.values()) + 1, bool)
         self.last[[i for token, i in ids.items() if token.endswith("</w>")]] = True
-        # Special tokens may stand within or across chunks; str.split also splits at four controls that are no white space here.
+        # Special tokens may stand within or across chunks; some controls are white space to one splitter only.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
         self.cache: dict[str, bytes] = {}
@@ -74,28 +77,38 @@ class Words:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.cache[c] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn(self, new: list[str]) -> None:
+        """Cache new chunks."""
+        cache = self.cache
+        # Letters with ASCII punctuation behind are two pieces to the vocabulary, and it has no upper case.
+        ended = {c: (w.lower() if w.isascii() else w, c[len(w) :]) for c in new if (w := c.rstrip(MARKS)).isalpha()}
+        cores, tails = ({p[k] for p in ended.values()}.difference(cache) for k in (0, 1))
+        self._words([w for w in cores if w])
+        self._chunks([t for t in tails if t])
+        cache.update({c: cache[w] + cache[t] if t else cache[w] for c, (w, t) in ended.items()})
+        self._chunks([c for c in new if c not in cache])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(cache)
-        if new:
-            words = {c[:-1] if c[-1] in ".," else c for c in new}
-            simple = {w for w in words if w.isalpha()}
-            self._words([w for w in simple if w not in cache])
-            self._chunks([x for x in (".", ",") if x not in cache])
-            ended = {c for c in new if c[-1] in ".," and c[:-1] in simple}
-            for c in ended:
-                cache[c] = cache[c[:-1]] + cache[c[-1]]
-            self._chunks([c for c in new if c not in cache])
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
+        cache[""] = b""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        chunks, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn([c for c in chunks if c not in cache])
+        ids = list(map(cache.__getitem__, chunks))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[index]
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+        out = flat[np.repeat(starts[index] - before[:-1], many) + np.arange(before[-1])]
+        cuts = before[split.offsets.to_numpy()]
+        found = [out[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i, text in enumerate(texts):
             if self.odd.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(cache.__getitem__, chunks)))
-        return out
+                found[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
 
 def words(vocabulary: str) -> Words:
@@ -115,7 +128,7 @@ def tokenized(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, e
     def batch(rows: dict) -> dict:
         out: dict = {c.split(" ")[0]: [] for c in schema.split(", ")}
         at, encoder = 0, words(vocabulary)
-        for run in runs([t or "" for t in rows["text"]]):
+        for run in runs([t or "" for t in rows["text"]], 4 << 20):
             for ids in encoder.encode(run):
                 ids += end
                 for k, i in enumerate(range(0, len(ids), 4 * size)):
