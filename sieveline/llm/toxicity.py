@@ -41,7 +41,7 @@ PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 EPOCHS, RATE, L2, BATCH, MIN_ROWS = 4, 0.3, 1e-4, 32, 5
 WINDOW = 400
 #: Bounds of the training sample: rows, and code points of a row.
-MAX_ROWS, MAX_CHARS = 16_000, 20_000
+MAX_ROWS, MAX_CHARS = 10_000, 8_000
 THRESHOLD = 0.7
 CACHE = 400_000
 WORD = re.compile(r"\w+")
@@ -127,7 +127,7 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         known = np.split(buckets, np.searchsorted(owners, np.arange(1, len(number))))
         for words in split:
             u, n = np.unique(np.concatenate([known[number[w]] for w in words]) if words else np.zeros(0, np.int64), return_counts=True)
-            bags.append((u, (n / max(1, n.sum())).astype(np.float32)))
+            bags.append((u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return bags
 
 
@@ -147,7 +147,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     for i in train:
         rows_with[bags[i][0]] += 1
     used = rows_with >= min(MIN_ROWS, 1 + len(train) // 200)
-    bags = [(u[used[u]], s[used[u]]) for u, s in bags]
+    for i, (u, s) in enumerate(bags):  # in place: bags are most of the driver's memory
+        bags[i] = (u[used[u]], s[used[u]])
     e, w, b = model.embedding, model.softmax, model.bias
     seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(EPOCHS if len(train) >= 2000 else EPOCHS * 4):
