@@ -1,9 +1,9 @@
 """Queries over the standard tables, each with the SQL that gives the same rows."""
 
-from . import dense, fusion, lexical, metrics, readiness
+from . import dense, etl, fusion, lexical, metrics, readiness
 from .registry import ORACLE, QUERIES
 
-MODULES = (dense, fusion, lexical, metrics, readiness)
+MODULES = (dense, etl, fusion, lexical, metrics, readiness)
 
 
 def queries() -> dict:
