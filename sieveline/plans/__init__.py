@@ -1,9 +1,9 @@
 """Queries over the standard tables, each with the SQL that gives the same rows."""
 
-from . import dense, etl, fusion, lexical, metrics, readiness
+from . import analysis, dense, etl, fusion, lexical, metrics, readiness, scalars
 from .registry import ORACLE, QUERIES
 
-MODULES = (dense, etl, fusion, lexical, metrics, readiness)
+MODULES = (analysis, dense, etl, fusion, lexical, metrics, readiness, scalars)
 
 
 def queries() -> dict:
