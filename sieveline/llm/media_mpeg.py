@@ -177,6 +177,12 @@ def read_table_frame(data: bytes, at: int, h: tuple) -> dict | None:
     return None
 
 
+def followed(data: bytes, at: int, h: tuple, end: int) -> bool:
+    """Whether another frame of its kind, or the end, follows a frame."""
+    after = header(data, at + h[0])
+    return at + h[0] == end or bool(after and after[2] == h[2] and after[5:7] == h[5:7])
+
+
 def decode(data: bytes) -> dict:
     """Everything a reader wants of a stream; bytes that belong to no frame are counted, not fatal."""
     fields, at, end = read_tags(data)
@@ -185,10 +191,14 @@ def decode(data: bytes) -> dict:
     while at < end:
         h = header(data, at)
         fits = h and at + h[0] <= end
-        # While out of step, a header counts only if another of its kind, or the end, follows it.
-        if fits and not locked:
-            after = header(data, at + h[0])
-            fits = at + h[0] == end or after and after[2] == h[2] and after[5:7] == h[5:7]
+        if fits and not followed(data, at, h, end):
+            # Out of step such a header does not count; in step it does, unless a frame that is followed starts inside it.
+            inner = data.find(b"\xff", at + 1, at + h[0]) if locked else at
+            while locked and inner >= 0:
+                if (g := header(data, inner)) and inner + g[0] <= end and followed(data, inner, g, end):
+                    break
+                inner = data.find(b"\xff", inner + 1, at + h[0])
+            fits = inner < 0
         if not fits:
             resyncs += locked or not offsets and not skipped
             nxt = data.find(b"\xff", at + 1, end)
