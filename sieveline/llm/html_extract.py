@@ -304,7 +304,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
         tag, name = r.choice(ARTICLE)
         own = [f"<h1>{words(1, 9)}</h1>"] * (r.random() < 0.8) + [text_block() for _ in range(r.randint(1, 14))]
         for kind in ("ad", "share", "side", "notice", "form", "comments"):
-            if r.random() < 0.12:
+            if r.random() < 0.3:
                 own.insert(r.randint(1, len(own)), part(kind))
         name = f' class="{name}"' if name else ""
         article = f'<{tag}{name} data-label="1">{"".join(own)}</{tag}>'
@@ -332,7 +332,7 @@ def labels(nodes: list[Node]) -> list[int]:
     return out
 
 
-def train(pages: list[str] | None = None, rounds: int = 250, rate: float = 0.5, l2: float = 1e-3) -> Model:
+def train(pages: list[str] | None = None, rounds: int = 400, rate: float = 0.5, l2: float = 1e-4) -> Model:
     """Node potentials by softmax regression, parent-child potentials by smoothed counts."""
     x: list[tuple[str, ...]] = []
     y: list[int] = []
