@@ -30,9 +30,10 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text whose A-Z still stand.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A text without any of these stems matches no rule and no base phrase.
-STEMS = ("licen", "copyleft", "copyright", "public domain", "unlicense", "spdx", "warranty", "commons", "redistribution")
-CC_GATE = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)"
+#: A text without any of these stems or words matches no rule and no base phrase.
+STEMS = ("licen", "domain", "commons", "warranty", "redistribution", "reserved", "permission", "confidential", "gemma", "advertising", "endorse")
+SHORT = r"[la]?gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|cc0|0?bsd|mulan|cecill|open ?rail|big ?code|creativeml|bigscience|ofl|unlicense"
+SHORT_GATE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)|0?[\x00-\x2F]*bsd|open[\x00-\x2F]*rail|" + SHORT + ")"
 
 # Names, hand-written: label; keyword that must occur; regex of the name, over words.
 # A name ending in "@" takes a version: the regex of the version, and how the label goes on.
@@ -138,6 +139,9 @@ NOTICES = (
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "identifier apache", r"spdx licen[sc]e identifier apache 2 0"),
+    ("mit", "identifier mit", r"spdx licen[sc]e identifier mit"),
+    ("isc", "identifier isc", r"spdx licen[sc]e identifier isc"),
     ("apache-2.0", "www apache org", r"www apache org licenses license 2 0"),
     ("gpl-or-later", "any later version", r"either version [123] of the licen[sc]e or at your option any later version"),
     ("gpl", "free software foundation", r"gnu general public licen[sc]e as published by the free software foundation"),
@@ -222,7 +226,7 @@ def _places(spelled: list[str], label: str) -> Column:
 def scan(df: DataFrame) -> DataFrame:
     """A row per document: base places and labels, kept detections, all labels and a score."""
     low = F.lower("text")
-    gate = low.rlike(CC_GATE)
+    gate = low.rlike(SHORT_GATE)
     for stem in STEMS:
         gate = low.contains(stem) | gate
     reduced = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATOR, " "))
