@@ -69,7 +69,7 @@ def j7_title_first_last(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS n_left, count(n_nationkey) AS n_joined, count(*) = count(n_nationkey) AS kept FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def j16_checked_join(t: Tables) -> DataFrame:
-    x = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    x = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return x.agg(F.count("*").alias("n_left"), F.count("n_nationkey").alias("n_joined"), (F.count("*") == F.count("n_nationkey")).alias("kept"))
 
 

@@ -186,7 +186,7 @@ def r4_keyword_relax(t: Tables) -> DataFrame:
     k = relaxed(q).select("query_id", F.col("size").alias("level"), "place", F.array_distinct("words").alias("words"))
     each = k.select("query_id", "level", "place", F.size("words").alias("need"), F.explode("words").alias("term"))
     post = part_docs(t).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    hits = post.join(F.broadcast(each), "term").groupBy("query_id", "level", "place", "need", "doc_id").agg(F.count("*").alias("has")).where("has = need")
+    hits = post.join(each, "term").groupBy("query_id", "level", "place", "need", "doc_id").agg(F.count("*").alias("has")).where("has = need")
     counted = hits.groupBy("query_id", "level", "place").agg(F.count("*").alias("n_hits")).where("n_hits >= 3 OR level = 1")
     best = counted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("level"), "place"))).where("n = 1").select("query_id", "level", "place")
     out = hits.join(best, ["query_id", "level", "place"]).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("n <= 200")
@@ -239,7 +239,7 @@ def r18_expansion_terms(t: Tables) -> DataFrame:
     top = L.top_k(L.bm25(q, d), 3).select("query_id", "doc_id")
     n = d.agg(F.count("*").alias("n"))
     df = L.document_frequency(d, F.col("tokens"))
-    terms = d.join(F.broadcast(top), "doc_id").select("query_id", F.explode("tokens").alias("term")).distinct()
+    terms = d.join(top, "doc_id").select("query_id", F.explode("tokens").alias("term")).distinct()
     own = q.select("query_id", F.explode("tokens").alias("term"))
     x = terms.join(own, ["query_id", "term"], "left_anti").join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
     return x.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("idf"), "term"))).where("k <= 2").drop("k")
