@@ -16,7 +16,7 @@ def tokens(c: Column) -> Column:
 
 def query_tokens(c: Column) -> Column:
     """Tokens of more than one character."""
-    return F.filter(tokens(c), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def content_tokens(c: Column) -> Column:

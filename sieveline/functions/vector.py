@@ -17,7 +17,12 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """The vector at length 1; null for the zero vector."""
     n = norm(a)
-    return F.when(n > 1e-12, F.transform(a, lambda x: x.cast("double") / n))
+    return F.when(n > 1e-12, scaled(a, 1 / n))
+
+
+def scaled(a: Column, by: Column) -> Column:
+    """The vector times a number; the number is worked out once, not in the lambda."""
+    return F.zip_with(a, F.array_repeat(by, F.size(a)), lambda x, y: x.cast("double") * y)
 
 
 def blend(a: Column, b: Column, weight: Column | float) -> Column:

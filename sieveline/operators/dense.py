@@ -78,6 +78,6 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
 def rescore(pool: DataFrame, queries: DataFrame, vectors: DataFrame, dims: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
     """The cosine of each (query_id, doc_id) of a pool; only the pool's vectors are read into the join."""
     a, b = dims or (0, 1 << 20)
-    cut = lambda c: V.unit(F.slice(c, a + 1, b - a))
-    x = pool.select("query_id", "doc_id").join(vectors.select("doc_id", F.col("v").alias("__d")), "doc_id").join(queries.select("query_id", F.col("v").alias("__q")), "query_id")
-    return x.select("query_id", "doc_id", F.round(V.dot(cut(F.col("__q")), cut(F.col("__d"))), digits).alias("score"))
+    cut = V.unit(F.slice("v", a + 1, b - a))  # before the join: once per vector, not per pair
+    x = pool.select("query_id", "doc_id").join(vectors.select("doc_id", cut.alias("__d")), "doc_id").join(queries.select("query_id", cut.alias("__q")), "query_id")
+    return x.select("query_id", "doc_id", F.round(V.dot(F.col("__q"), F.col("__d")), digits).alias("score"))

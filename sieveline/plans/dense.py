@@ -100,7 +100,7 @@ def r15_prf(t: Tables) -> DataFrame:
 def r16_rocchio_qperp(t: Tables) -> DataFrame:
     s = V.sums(_members(t, run(t, 5)), ["query_id"]).join(asked(t), "query_id").select("query_id", V.unit(F.col("v")).alias("q"), V.unit(F.col("total")).alias("c"))
     along = V.dot(F.col("c"), F.col("q"))
-    rest = s.select("query_id", "q", V.unit(F.zip_with("c", F.transform("q", lambda x: x * along), lambda a, b: a - b)).alias("p"))
+    rest = s.select("query_id", "q", V.unit(F.zip_with("c", V.scaled(F.col("q"), along), lambda a, b: a - b)).alias("p"))
     return _shown(rest.select("query_id", V.blend(F.col("q"), F.col("p"), 0.8).alias("v")), t)
 
 
