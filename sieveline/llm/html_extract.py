@@ -368,11 +368,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """A row per page with its main text."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or train())
+    m = model or train()
+    sent = pages.sparkSession.sparkContext.broadcast((m.unary, m.edge, m.leaf_edge))  # plain data: executors need no copy of this module
 
-    def batch(rows: dict, cache: dict) -> dict:
-        texts = [extract(h or "", sent.value, cache) for h in rows["html"]]
+    def batch(rows: dict, model: Model, cache: dict) -> dict:
+        texts = [extract(h or "", model, cache) for h in rows["html"]]
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return map_batches(read, batch, SCHEMA, lambda: {"cache": {}})
+    return map_batches(read, batch, SCHEMA, lambda: {"model": Model(*sent.value), "cache": {}})
