@@ -77,9 +77,12 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, se
     return df.mapInArrow(run, schema)
 
 
-def worker_cache() -> dict:
-    """A dictionary that outlives tasks in a Python worker."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that outlives tasks in a Python worker; one operator has it at a time, so caches don't add up."""
     import sys
     import types
 
-    return sys.modules.setdefault("_sieveline_worker", types.ModuleType("_sieveline_worker")).__dict__
+    held = sys.modules.setdefault("_sieveline_worker", types.ModuleType("_sieveline_worker")).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["cache"] = owner, {}
+    return held["cache"]

@@ -40,7 +40,7 @@ from .shingles import mix, sets, shingle_hashes
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Classes of a group that one task holds; n-grams of at most SPARSE members are counted pair by pair.
-BLOCK, SPARSE, COLUMNS = 1000, 8, 4096
+BLOCK, SPARSE, COLUMNS = 256, 8, 4096
 
 
 def plan_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:

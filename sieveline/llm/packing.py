@@ -34,7 +34,7 @@ from .common import Scratch, map_batches, worker_cache
 SIZE, END_ID, PER_SHARD = 4096, 1, 20_000
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers; punctuation that may end a word (no apostrophe, which starts some pieces).
-CACHE = 1_200_000
+CACHE = 400_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -112,7 +112,7 @@ class Words:
 
 
 def words(vocabulary: str) -> Words:
-    held = worker_cache().setdefault("packing_words", {})
+    held = worker_cache("packing")
     if vocabulary not in held:
         held[vocabulary] = Words(vocabulary)
     return held[vocabulary]

@@ -41,9 +41,9 @@ PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 EPOCHS, RATE, L2, BATCH, MIN_ROWS = 4, 0.3, 1e-4, 32, 5
 WINDOW = 400
 #: Bounds of the training sample: rows, and code points of a row.
-MAX_ROWS, MAX_CHARS = 10_000, 8_000
+MAX_ROWS, MAX_CHARS = 12_000, 8_000
 THRESHOLD = 0.7
-CACHE = 400_000
+CACHE = 300_000
 WORD = re.compile(r"\w+")
 
 
@@ -55,7 +55,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(marked)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # code points to the word's end
     rolling, buckets, owners = np.zeros(len(chars), np.uint64), [], []
-    for n in range(1, SIZES[-1] + 1):
+    for n in range(1, min(SIZES[-1], len(chars)) + 1):
         rolling[: len(chars) - n + 1] = rolling[: len(chars) - n + 1] * PRIME + chars[n - 1 :]
         if n in SIZES:
             at = np.flatnonzero(left >= n)
@@ -117,18 +117,15 @@ def pieces(texts: list, size: int = 1 << 20):
         yield run
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text with their shares of its n-grams."""
-    bags = []
-    for run in pieces(texts):
+def _bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text, and how many of its n-grams are in them."""
+    for run in pieces(texts, 1 << 17):  # small runs: this is the driver's memory
         split = [WORD.findall(t.lower()) for t in run]
         number = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
         buckets, owners = grams(list(number)) if number else (np.zeros(0, np.int64),) * 2
         known = np.split(buckets, np.searchsorted(owners, np.arange(1, len(number))))
         for words in split:
-            u, n = np.unique(np.concatenate([known[number[w]] for w in words]) if words else np.zeros(0, np.int64), return_counts=True)
-            bags.append((u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    return bags
+            yield np.unique(np.concatenate([known[number[w]] for w in words]) if words else np.zeros(0, np.int64), return_counts=True)
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
@@ -142,13 +139,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     order = rng.permutation(len(y))
     check = order[: len(y) // 10] if len(set(y[order[: len(y) // 10]])) == 2 else order
     train = order[len(y) // 10 :] if len(check) < len(y) and len(set(y[order[len(y) // 10 :]])) == 2 else order
-    bags = _bags(texts)
-    rows_with = np.zeros(BUCKETS, np.int32)
-    for i in train:
-        rows_with[bags[i][0]] += 1
+    # Bags are most of the driver's memory: a first pass finds the buckets in use, a second keeps only these.
+    rows_with, training = np.zeros(BUCKETS, np.int32), np.zeros(len(y), bool)
+    training[train] = True
+    for i, (u, _) in enumerate(_bags(texts)):
+        if training[i]:
+            rows_with[u] += 1
     used = rows_with >= min(MIN_ROWS, 1 + len(train) // 200)
-    for i, (u, s) in enumerate(bags):  # in place: bags are most of the driver's memory
-        bags[i] = (u[used[u]], s[used[u]])
+    bags = [(u[used[u]].astype(np.int32), np.minimum(n[used[u]], 65535).astype(np.uint16), int(n.sum())) for u, n in _bags(texts)]
     e, w, b = model.embedding, model.softmax, model.bias
     seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(w, 1e-8), np.full_like(b, 1e-8)
     for _ in range(EPOCHS if len(train) >= 2000 else EPOCHS * 4):
@@ -157,7 +155,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
             own = [i for i in order[k : k + BATCH] if len(bags[i][0])]
             if not own:
                 continue
-            f, share = np.concatenate([bags[i][0] for i in own]), np.concatenate([bags[i][1] for i in own])
+            f, share = np.concatenate([bags[i][0] for i in own]), np.concatenate([bags[i][1] / np.float32(bags[i][2]) for i in own])
             n = np.array([len(bags[i][0]) for i in own])
             mean = np.add.reduceat(e[f] * share[:, None], np.concatenate(([0], np.cumsum(n)[:-1])))
             z = mean @ w + b
@@ -177,7 +175,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     e[~used] = 0
     # The cut with the most correct positives: the best F1, at the middle of its gap.
     weights, cache = model.weights(), {}
-    z = np.array(margins([texts[i] for i in check], weights, cache))
+    z = np.array([x for run in pieces([texts[i] for i in check], 1 << 17) for x in margins(run, weights, cache)])
     down = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[check][down])
     best = int(np.argmax(2 * hits / (np.arange(len(down)) + 1 + y[check].sum())))
@@ -195,8 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     # Only ids and labels are ordered over all rows; then the texts of the chosen ones are read.
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = few.join(F.broadcast(chosen), "id").select("id", "toxic", "text").orderBy("id", "text").limit(max_rows).toPandas()
-    return fit(rows["text"].tolist(), [int(t > 0) for t in rows["toxic"]])
+    rows = few.join(F.broadcast(chosen), "id").select("id", "toxic", "text").orderBy("id", "text").limit(max_rows).toArrow()
+    texts, toxic = rows["text"].to_pylist(), [int(t > 0) for t in rows["toxic"].to_pylist()]
+    del rows
+    return fit(texts, toxic)
 
 
 def _scores(model: Model):
@@ -208,10 +208,7 @@ def _scores(model: Model):
     def score(texts: Iterator[str | None], weights: np.ndarray) -> list[float]:
         if constant is not None:
             return [constant for _ in texts]
-        held = worker_cache()
-        if held.get("toxicity_model") != key:
-            held["toxicity_model"], held["toxicity_words"] = key, {}
-        cache = held["toxicity_words"]
+        cache = worker_cache(f"toxicity {key}")
         z = np.concatenate([margins(run, weights, cache) for run in pieces([t or "" for t in texts])] or [np.zeros(0)])
         return (1 / (1 + np.exp(np.clip(offset - lift - z, -700, 700)))).tolist()
 
