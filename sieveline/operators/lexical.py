@@ -28,9 +28,25 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl) for the given terms. docs: doc_id, tokens."""
-    each = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
-    return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf, dl) for the given terms. docs: doc_id, tokens.
+
+    Besides, each document has one posting of the empty term, which no query asks for: so
+    sizes of the collection come from the same scan and the same shuffle as the postings.
+    """
+    asked = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
+    each = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")).where(F.col("term").isNotNull())
+    return each.join(asked, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def collection(post: DataFrame) -> DataFrame:
+    """One row: n_docs and avgdl. All columns are named, so that the plan below is the postings' own and is run once."""
+    whole = (F.col("term") == "") & (F.col("tf") > 0)
+    return post.agg(F.count_if(whole).alias("n_docs"), F.avg(F.when(whole, F.col("dl"))).alias("avgdl"))
+
+
+def posting_df(post: DataFrame) -> DataFrame:
+    """(term, df) of postings, over the same shuffle."""
+    return post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 0.3, b: float = 0.6) -> DataFrame:
@@ -40,11 +56,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 0.3, b: float = 0.6) -
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     post = postings(docs, terms)
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return post.join(df, "term").crossJoin(F.broadcast(size)).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    scored = post.join(posting_df(post), "term").crossJoin(F.broadcast(collection(post))).join(terms, "term")
+    return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", digits: int = 6) -> DataFrame:

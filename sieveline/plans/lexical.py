@@ -98,8 +98,7 @@ def r3_bm25_param_sweep(t: Tables) -> DataFrame:
     terms = asked(t).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     d = docs(t)
     post = L.postings(d, terms)
-    size = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    size, df = L.collection(post), L.posting_df(post)
     grid = F.explode(F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1 in (0.3, 0.9, 1.5) for b in (0.4, 0.75)))).alias("g")
     rows = post.join(df, "term").crossJoin(F.broadcast(size)).join(terms, "term").select("*", grid).select("*", "g.*")
     part = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
