@@ -18,7 +18,7 @@ ones are not read.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,9 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text without any of these stems or words matches no rule and no base phrase.
 STEMS = ("licen", "domain", "commons", "warranty", "redistribution", "reserved", "permission", "confidential", "gemma", "advertising", "endorse")
-SHORT = r"[la]?gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|cc0|0?bsd|mulan|cecill|open ?rail|big ?code|creativeml|bigscience|ofl|unlicense"
-SHORT_GATE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)|0?[\x00-\x2F]*bsd|open[\x00-\x2F]*rail|" + SHORT + ")"
+SHORT = ("gpl", "gfdl", "mpl", "cddl", "eupl", "wtfpl", "odbl", "cc0", "bsd", "mulan", "cecill", "rail", "code", "creativeml", "bigscience", "ofl", "cc")
+#: Most texts with a short stem have it within a word; this is looked at only behind a short stem.
+SHORT_GATE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)|cc0|[la]?gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|0?[\x00-\x2F]*bsd|mulan|cecill|open[\x00-\x2F]*rail|big[\x00-\x2F]*code|creativeml|bigscience|ofl)"
 
 # Names, hand-written: label; keyword that must occur; regex of the name, over words.
 # A name ending in "@" takes a version: the regex of the version, and how the label goes on.
@@ -225,12 +226,10 @@ def _places(spelled: list[str], label: str) -> Column:
 
 def scan(df: DataFrame) -> DataFrame:
     """A row per document: base places and labels, kept detections, all labels and a score."""
-    low = F.lower("text")
-    gate = low.rlike(SHORT_GATE)
-    for stem in STEMS:
-        gate = low.contains(stem) | gate
+    low = F.col("low")
+    gate = reduce(or_, (low.contains(x) for x in STEMS)) | reduce(or_, (low.contains(x) for x in SHORT)) & low.rlike(SHORT_GATE)
     reduced = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATOR, " "))
-    d = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
     d = d.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gate, reduced).alias("words"))
     array = F.split("words", " ")
     places = [_places(phrase.split(" "), label) for phrase, label in BASE.items()]
