@@ -34,7 +34,7 @@ from .common import Scratch, map_batches, worker_cache
 SIZE, END_ID, PER_SHARD = 4096, 1, 20_000
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers; punctuation that may end a word (no apostrophe, which starts some pieces).
-CACHE = 400_000
+CACHE = 1_000_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
