@@ -17,7 +17,7 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """The vector at length 1; null for the zero vector."""
     n = norm(a)
-    return F.when(n > 1e-12, scaled(a, 1 / n))
+    return F.when(n > 1e-12, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: x.cast("double") / y))
 
 
 def scaled(a: Column, by: Column) -> Column:
