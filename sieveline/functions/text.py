@@ -19,6 +19,12 @@ def query_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+def one_and_two_grams(t: Column) -> Column:
+    """An array of tokens, then each two that stand side by side."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def content_tokens(c: Column) -> Column:
     """Query tokens that are no stop words."""
     return F.filter(query_tokens(c), lambda t: ~t.isin(STOP_WORDS))

@@ -74,14 +74,21 @@ TOKENS = "k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text)
 
 @query(f"WITH {TOKENS}, x AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.w * b.w), 5) AS score FROM u a JOIN u b USING (term) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL) SELECT query_id, doc_id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5")
 def l2_tfidf_cosine(t: Tables) -> DataFrame:
-    """Nearest texts of the Spanish ones whose number is divisible by 20, by sparse products over terms."""
+    """A slice that SQL can follow: the Spanish texts among themselves, single words. `l2_tfidf_catalogue` is the whole."""
     from ..functions import text as T
 
     tokens = t.documents.where("lang = 'es'").select("doc_id", F.explode(T.query_tokens(F.col("text"))).alias("term"))
-    u = L.tf_idf(tokens)
-    a = u.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("a"))
-    x = u.join(a, "term").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("w")), 5).alias("score"))
-    return x.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("n <= 5").drop("n")
+    return L.nearest_texts(L.tf_idf(tokens), 5)
+
+
+@query()
+def l2_tfidf_catalogue(t: Tables) -> DataFrame:
+    """Nearest of all texts, for those whose number is divisible by 20: one and two words, in two documents at least and in half of them at most."""
+    from ..functions import text as T
+
+    tokens = t.documents.select("doc_id", T.query_tokens(F.col("text")).alias("k")).select("doc_id", F.explode(T.one_and_two_grams(F.col("k"))).alias("term"))
+    return L.nearest_texts(L.tf_idf(tokens, t.documents, least=2, most=0.5), 5)
+
 
 
 @query(f"{LABELLED}, {VOTES} SELECT e.vec_id AS query_id, e.label AS own, coalesce(CAST(w.label AS VARCHAR), 'unclassified') AS label FROM e LEFT JOIN (SELECT * FROM w WHERE k = 1 AND share >= 0.3) w ON w.query_id = e.vec_id WHERE e.vec_id % 20 = 0")
