@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .components import components
 
 QUERY_BYTES, ROWS = 64 << 20, 4096
+#: Vectors a side of a block of `near`.
+SIDE = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -30,6 +33,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _passes(rows: DataFrame) -> int:
+    width = rows.select(F.size("v").alias("n"), F.lit(1).alias("one")).agg(F.max("n").alias("n"), F.sum("one").alias("rows")).first()
+    return max(1, -(-(width["n"] or 0) * 8 * (width["rows"] or 0) // QUERY_BYTES))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int] | None = None, same: bool = False, least: float | None = None, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best by cosine, rounded; ties go by doc_id.
 
@@ -37,8 +45,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
     same: whether a vector may answer the query of its own id. least: a lower bound of the score.
     """
     spark = vectors.sparkSession
-    width = queries.select(F.size("v").alias("n"), F.lit(1).alias("one")).agg(F.max("n").alias("n"), F.sum("one").alias("rows")).first()
-    passes = max(1, -(-(width["n"] or 0) * 8 * (width["rows"] or 0) // QUERY_BYTES))
+    passes = _passes(queries)
     a, b = dims or (0, None)
     schema = "query_id long, doc_id long, score double"
 
@@ -75,6 +82,63 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) as links of each id with the smallest one of its component."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[x], low[y])
+        np.minimum.at(new, low[y], low[x])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    own = low != np.arange(len(ids))
+    return ids[own], ids[low[own]]
+
+
+def near(vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """(doc_id, root, links) per vector: the smallest id of its class, and with how many others its cosine, rounded, is at least `least`.
+
+    vectors: doc_id, v. Classes are the components of all such pairs. Every vector meets
+    every other; tasks give out counts and a forest of the links they saw, which has the
+    same components, so a group of n copies takes n rows for a task and not n² pairs.
+    """
+    spark = vectors.sparkSession
+    passes = _passes(vectors)
+    rows = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("v").cast("array<double>").alias("v"))
+
+    def one(i: int) -> DataFrame:
+        own = (rows if passes == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i)).toArrow()
+        sent = spark.sparkContext.broadcast((own["doc_id"].to_numpy(), _unit(_matrix(own["v"].combine_chunks()))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            links, a, b = np.zeros(len(ids), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(ids) else 0, SIDE):
+                    part = batch.slice(at, SIDE)
+                    docs, d = part["doc_id"].to_numpy(), _unit(_matrix(part["v"])).T
+                    for k in range(0, len(ids), SIDE):
+                        x, y = np.nonzero(np.round(q[k : k + SIDE] @ d, digits) >= least)
+                        other = ids[k + x] != docs[y]
+                        x, y = x[other], y[other]
+                        if len(x):
+                            links[k : k + SIDE] += np.bincount(x, minlength=len(ids[k : k + SIDE]))
+                            a, b = _forest(np.concatenate((a, ids[k + x])), np.concatenate((b, docs[y])))
+            seen = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[seen], a))), pa.array(np.concatenate((ids[seen], b))), pa.array(np.concatenate((links[seen], np.zeros(len(a), np.int64))))], names=["a", "b", "links"])
+
+        return rows.mapInArrow(run, "a long, b long, links long")
+
+    found = reduce(DataFrame.unionByName, map(one, range(passes))).groupBy("a", "b").agg(F.sum("links").alias("links"))
+    roots = components(found.where("a <> b").select("a", "b"))
+    links = found.where("a = b").select(F.col("a").alias("doc_id"), "links")
+    x = rows.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(links, "doc_id", "left")
+    return x.select("doc_id", F.coalesce("root", "doc_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def rescore(pool: DataFrame, queries: DataFrame, vectors: DataFrame, dims: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
     """The cosine of each (query_id, doc_id) of a pool; only the pool's vectors are read into the join."""
     a, b = dims or (0, 1 << 20)

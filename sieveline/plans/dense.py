@@ -70,9 +70,16 @@ def a8_coherence(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAIRS}, {run_sql('r', 's', 16)} SELECT DISTINCT least(query_id, doc_id) AS a, greatest(query_id, doc_id) AS b, score FROM r WHERE score >= 0.3")
 def j10_near_pairs(t: Tables) -> DataFrame:
+    """A slice that SQL can follow: pairs with a query, among its 16 best. `j10_near_classes` is the whole."""
     return run(t, 16, least=0.3).select(F.least("query_id", "doc_id").alias("a"), F.greatest("query_id", "doc_id").alias("b"), "score").distinct()
 
 
+@query()
+def j10_near_classes(t: Tables) -> DataFrame:
+    """All pairs of vectors with a cosine of at least 0.97, as the class of each vector and its number of links."""
+    return D.near(vectors(t), 0.97).withColumnRenamed("doc_id", "vec_id")
+
+
 def _members(t: Tables, found: DataFrame) -> DataFrame:
     return found.join(vectors(t), "doc_id")
 

@@ -1,10 +1,14 @@
 """Queries that do the whole job, against brute force on small tables that a cut would change."""
 
 import math
+import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+
+import pytest
 
 from sieveline import plans
+from sieveline.operators import dense as D
 
 
 def at(spark, folder, **tables):
@@ -27,3 +31,28 @@ def test_l2_takes_all_languages_and_bigrams(spark, tmp_path):
         want |= {(q, d, -s) for s, d in sorted(scores)[:5]}
     got = plans.queries()["l2_tfidf_catalogue"](spark, at(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string"))).collect()
     assert {(r["query_id"], r["doc_id"], r["score"]) for r in got} == want and len(got) == len(want) > 5
+
+
+def components(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("small", (False, True))
+def test_j10_finds_every_link(spark, tmp_path, monkeypatch, small):
+    if small:  # several passes and blocks
+        monkeypatch.setattr(D, "QUERY_BYTES", 600)
+        monkeypatch.setattr(D, "SIDE", 3)
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(30)]
+    rows += [(101 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(25)]  # more copies than 16, most ids not divisible by 20
+    rows += [(200 + i, [math.cos(i / 5), math.sin(i / 5), 0.0, 0.0]) for i in range(12)]  # a chain
+    rows += [(300, [0.0] * 4)]
+    unit = {i: [x / (math.hypot(*v) or 1) for x in v] for i, v in rows}
+    links = [(a, b) for a in unit for b in unit if a != b and round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 6) >= 0.97]
+    root, n = components(links), Counter(a for a, _ in links)
+    got = plans.queries()["j10_near_classes"](spark, at(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<double>"))).collect()
+    assert n[101] >= 24 and sorted(map(tuple, got)) == sorted((i, root.get(i, i), n[i]) for i in unit)
