@@ -56,3 +56,29 @@ def test_j10_finds_every_link(spark, tmp_path, monkeypatch, small):
     root, n = components(links), Counter(a for a, _ in links)
     got = plans.queries()["j10_near_classes"](spark, at(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<double>"))).collect()
     assert n[101] >= 24 and sorted(map(tuple, got)) == sorted((i, root.get(i, i), n[i]) for i in unit)
+
+
+def test_a26_and_a27_keep_parts_apart(spark, tmp_path):
+    keys = [1, 10, 401, 2, 802, 73, 500, 3503]  # 1 and 401, 2 and 802 are the same modulo 400
+    folder = at(spark, tmp_path, part=([(k, 11 + i) for i, k in enumerate(keys)], "p_partkey long, p_size int"))
+    root = components([(k, 7 * k + 3) for k in keys])
+    got = plans.queries()["a26_part_components"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(root.items()) and root[1] != root[401]
+    classes = {r: [n for n in root if root[n] == r] for r in root.values()}
+    best = lambda c: f"key {min(c, key=lambda n: (n % 2, len(str(n)), n))}"
+    got = plans.queries()["a27_part_canonical"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted((r, len(c), best(c)) for r, c in classes.items())
+
+
+def test_co_rated_items_are_not_folded(spark, tmp_path):
+    r = random.Random(9)
+    rated = {(u, m) for u in range(12) for m in r.sample([1, 201, 401, 2, 202, 3], 5)} | {(u, 1000 + 200 * i) for u in range(6) for i in range(60)}
+    lines = [(u, m, q) for u, m in rated for q in (40, 35)] + [(u, 5, 34) for u in range(12)]
+    folder = at(spark, tmp_path, orders=([(u, u % 12) for u in range(12)], "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_partkey long, l_quantity int"))
+    n = Counter((a, b) for u, a in rated for v, b in rated if u == v and a != b)
+    top = {a: sorted((-c, y) for (x, y), c in n.items() if x == a)[:50] for a, _ in n}
+    kept = {a: [(b, -c) for c, b in t if -c >= 5] for a, t in top.items()}
+    run = lambda name: sorted(map(tuple, plans.queries()[name](spark, folder).collect()))
+    assert run("a10_item_cooccurrence") == sorted((a, b, c) for a, t in kept.items() for b, c in t)
+    assert run("b4_item_bags") == sorted((a, len(t), ",".join(str(b) for b, _ in t)) for a, t in kept.items() if len(t) >= 2)
+    assert run("j8_item_pairs") == [(sum(n.values()),) * 2]
