@@ -12,8 +12,10 @@ Potentials are trained in numpy from labelled pages. These are composed here, by
 attributes; no page of the table is used.
 
 Blocks are joined by an empty line, in page order. Inside a block character references
-are decoded and white space becomes one space. Scripts, styles, comments and the head are
-no text. Nothing is dropped or capped otherwise.
+are decoded and white space becomes one space. Scripts, styles, comments, the title and
+elements that are no running text are left out; other text in a head, which ends it in
+HTML, is text. Raw-text elements without an end tag run to the end of the page; of other
+elements left out, the tag alone is then. Nothing is dropped or capped otherwise.
 
 Null and empty pages, and pages without content, give the empty text. Pages are
 independent, so ties, repeated rows and empty tables need nothing more. Columns besides
@@ -35,7 +37,10 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 # Fixed sets of element names.
-SKIPPED = "script style noscript template svg math iframe object canvas audio video title select option datalist"
+#: Raw text up to the end tag, or else to the end of the page.
+RAW = "script style noscript iframe title"
+#: Left out together with what is in them, if they end; else the tag alone is.
+SKIPPED = frozenset("template svg math object canvas audio video select option datalist".split())
 BLOCK = frozenset("html body main article section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend blockquote pre figure figcaption address details summary dialog hr center menu search button label textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - frozenset("button label html body".split())
@@ -43,7 +48,7 @@ CLOSES_P = BLOCK - frozenset("button label html body".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + SKIPPED.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<head\b[^>]*>|</head\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop|data-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -65,6 +70,21 @@ class Node:
     count: int = 0  # leaves below
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For the places of tags in SKIPPED that are ended: the place of the end tag."""
+    ends, opened = {}, {}
+    for i, m in enumerate(tokens):
+        if m[3] and (tag := m[3].lower()) in SKIPPED:
+            if not m[2]:
+                if tag in ("svg", "math") and m[4].endswith("/"):
+                    ends[i] = i
+                else:
+                    opened.setdefault(tag, []).append(i)
+            elif opened.get(tag):
+                ends[opened[tag].pop()] = i
+    return ends
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents before children; the first is the root."""
     nodes = [Node("#root", -1)]
@@ -75,14 +95,16 @@ def parse(page: str) -> list[Node]:
         del stack[upto:]
         leaf = -1
 
-    in_head = False
-    for m in TOKEN.finditer(page):
+    skipped = -1
+    tokens = [*TOKEN.finditer(page)]
+    ends = _ends(tokens)
+    for place, m in enumerate(tokens):
+        if place <= skipped:
+            continue
         tag = m[3]
         if tag is None:
             s = m[0]
             if s[0] != "<" or s == "<":
-                if in_head:
-                    continue
                 if leaf < 0:
                     if s.isspace():
                         continue
@@ -92,14 +114,9 @@ def parse(page: str) -> list[Node]:
                 n.parts.append(s)
                 if links:
                     n.linked += len(s)
-            elif s[:5].lower() == "<head":
-                in_head = True
-            elif s[:6].lower() == "</head":
-                in_head = False
             continue
         tag = tag.lower()
-        if tag == "body":
-            in_head = False
+        skipped = ends.get(place, skipped)
         if tag not in BLOCK:
             if tag == "a":
                 links = 0 if m[2] else 1

@@ -19,6 +19,28 @@ def test_parser():
     assert len(m.parse("")) == 1
 
 
+def words(page):
+    return [n.text for n in m.parse(page) if n.tag == "#text"]
+
+
+def test_text_behind_a_head_without_end():
+    assert words("<head><title>t</title><meta charset=x><style>p{}</style><article><p>a</p></article>") == ["a"]
+    assert words("<html><head><title>t</title><a href=x>a</a> b") == ["a b"]
+    assert words("<head><title>t</title></head><header>a</header>") == ["a"]
+
+
+@pytest.mark.parametrize("tag", "template svg math object canvas audio video select option datalist".split())
+def test_an_element_without_end_takes_no_text_along(tag):
+    assert words(f"<body><{tag} class='i'><article><p>a</p></article><{tag}>x</{tag}><p>b</p>") == ["a", "b"]
+    assert words(f"<p>a</p><{tag}>x<p>y</p></{tag}><p>b</p></{tag}><p>c</p>") == ["a", "b", "c"]
+    assert words(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>b</p>") == ["a", "b"]
+
+
+def test_what_is_empty_and_what_is_raw_text():
+    assert words('<svg class="i"/><article><p>a</p></article><svg><path/></svg><math/><p>b</p>') == ["a", "b"]
+    assert words("<p>a</p><svg><title>x</title></svg><select><option>x<option>y</select><p>b</p><script>x <p>y</p>") == ["a", "b"]
+
+
 def test_sum_product_equals_enumeration(model):
     nodes = m.parse("<div class='sidebar'><p>One two.</p><a href=x>links</a></div><article><h1>T</h1></article>")
     unary = m.potentials(nodes, model)
