@@ -34,7 +34,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEMS = ("licen", "domain", "commons", "warranty", "redistribution", "reserved", "permission", "confidential", "gemma", "advertising", "endorse")
 SHORT = ("gpl", "gfdl", "mpl", "cddl", "eupl", "wtfpl", "odbl", "cc0", "bsd", "mulan", "cecill", "rail", "code", "creativeml", "bigscience", "ofl", "cc")
 #: Most texts with a short stem have it within a word; this is looked at only behind a short stem.
-SHORT_GATE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)|cc0|[la]?gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|0?[\x00-\x2F]*bsd|mulan|cecill|open[\x00-\x2F]*rail|big[\x00-\x2F]*code|creativeml|bigscience|ofl)"
+SHORT_GATE = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|0|zero)|cc0|[la]?gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|0?[\x00-\x2F\x3A-\x60\x7B-\x7F]*bsd|mulan|cecill|open[\x00-\x2F\x3A-\x60\x7B-\x7F]*rail|big[\x00-\x2F\x3A-\x60\x7B-\x7F]*code|creativeml|bigscience|ofl)"
 
 # Names, hand-written: label; keyword that must occur; regex of the name, over words.
 # A name ending in "@" takes a version: the regex of the version, and how the label goes on.
@@ -110,7 +110,7 @@ NAMES = (
     ("odbl", "odbl", r"odbl"),
     ("odc-by", "commons attribution", r"open data commons attribution licen[sc]e"),
     ("pddl", "domain dedication", r"public domain dedication and licen[sc]e"),
-    ("openrail", "openrail", r"(?:bigscience |creativeml )?(?:big ?code )?open ?rail(?: m)?(?: licen[sc]e)?"),
+    ("openrail", "rail", r"(?:bigscience |creativeml )?(?:big ?code )?open ?rail(?: m)?(?: licen[sc]e)?"),
     ("rail", "responsible ai", r"responsible ai licen[sc]e"),
     ("llama", "llama", r"llama(?: [0-9](?: [0-9])?)? community licen[sc]e"),
     ("gemma", "gemma", r"gemma terms of use"),

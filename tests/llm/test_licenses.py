@@ -83,6 +83,27 @@ def test_the_gate_lets_every_rule_through():
             assert any(x in e for x in m.STEMS) or any(x in e for x in m.SHORT) and re.search(m.SHORT_GATE, e), (r["regex"], e)
 
 
+def spaced(regex):
+    """The same examples, with the blanks that are optional."""
+    return examples(regex.replace(" ?", " "))
+
+
+def test_the_keyword_is_in_every_example():
+    for r in m.rules():
+        for e in examples(r["regex"]) | spaced(r["regex"]):
+            if re.search(r["regex"], e):
+                assert r["keyword"] in e, (r["keyword"], e)
+                for sep in (" ", "_", "-", ":", " \n"):
+                    t = e.replace(" ", sep)
+                    assert any(x in t for x in m.STEMS) or any(x in t for x in m.SHORT) and re.search(m.SHORT_GATE, t), (r["regex"], t)
+
+
+def test_open_rail_in_all_spellings(spark):
+    texts = ["Open RAIL-M", "open-rail", "open_rail", "OpenRAIL", "BigScience Open RAIL-M License", "a big_code open:rail"]
+    out = m.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(out, key=lambda r: r["doc_id"])] == ["openrail"] * len(texts)
+
+
 def test_no_python_in_the_plan(spark, odd_docs):
     plan = m.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
