@@ -39,7 +39,7 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "i
 KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 # Weak candidates.
-IDENT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|email)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{2,64})""", re.IGNORECASE | re.ASCII)
+IDENT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|email)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{2,})""", re.IGNORECASE | re.ASCII)
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{2,5})?""", re.ASCII)
 BREAK = re.compile(r"\n[ \t\r]*\n")
@@ -96,8 +96,10 @@ def find(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
     if not weak:
         breaks = [m.start() for m in BREAK.finditer(text)] if len(base) > 1 else []
         return base, [], linked(base, breaks)[1] if len(base) > 1 else []
-    # A weak span that a base span covers is that part already.
-    weak = [w for w in weak if not any(b[0] < w[1] and w[0] < b[1] for b in base)]
+    # A weak span that a base span covers, or meets in the same role, is that part already; other identifiers and endpoints remain partners.
+    role = lambda s: ROLE[KINDS[s[2]]]
+    same = lambda b, w: b[0] < w[1] and w[0] < b[1] and (role(w) in ("secret", role(b)) or b[0] <= w[0] and w[1] <= b[1])
+    weak = [w for w in weak if not any(same(b, w) for b in base)]
     kept, links = linked(base + weak, [m.start() for m in BREAK.finditer(text)])
     return base, sorted(kept), links
 
