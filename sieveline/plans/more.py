@@ -200,7 +200,11 @@ def b5_target_space_bags(t: Tables) -> DataFrame:
 @query(f"""WITH d AS (SELECT term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct({content('text')})) AS term FROM benchmark) GROUP BY term), q AS (SELECT item_id, {content('text')} AS k FROM benchmark WHERE len({content('text')}) >= 2), e AS (SELECT item_id, k, (SELECT arg_max(t, lpad(CAST(100000 - df AS VARCHAR), 6, '0') || t) FROM (SELECT unnest(k) AS t) JOIN d ON d.term = t) AS entity FROM q),
 h AS (SELECT e.item_id, e.entity, count(*) AS hits FROM e JOIN documents ON contains(lower(text), entity) GROUP BY ALL) SELECT e.item_id, e.entity, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 70 THEN 'easy' WHEN coalesce(hits, 0) >= 10 THEN 'mid' ELSE 'hard' END AS regime FROM e LEFT JOIN h USING (item_id)""")
 def b17_regimes(t: Tables) -> DataFrame:
-    """Queries by how many texts hold their rarest word, as a substring."""
+    """Queries by how many texts hold their rarest word, as a substring.
+
+    Left out of the survey's B17: the dense top-100 run in which it counts, the condition
+    of a category word, one query per entity, and 15 queries per regime.
+    """
     x = t.benchmark.select("item_id", T.content_tokens(F.col("text")).alias("k")).where(F.size("k") >= 2)
     df = L.document_frequency(t.benchmark, T.content_tokens(F.col("text")))
     e = x.select("item_id", F.explode("k").alias("term")).join(df, "term").groupBy("item_id").agg(F.max_by("term", F.struct(-F.col("df"), "term")).alias("entity"))
