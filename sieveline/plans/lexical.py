@@ -49,6 +49,12 @@ def p1_tokens(t: Tables) -> DataFrame:
     return x.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"), F.array_join(F.slice("tokens", 1, 12), " ").alias("first_tokens"))
 
 
+@query(f"SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct, md5(array_to_string(tokens, ' ')) AS hash FROM (SELECT doc_id, {tok('text')} AS tokens FROM documents)")
+def p1_tokens_whole(t: Tables) -> DataFrame:
+    x = t.documents.select("doc_id", T.query_tokens(F.col("text")).alias("tokens"))
+    return x.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("hash"))
+
+
 @query("SELECT item_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '|') AS tokens FROM benchmark")
 def p2_tokens_all(t: Tables) -> DataFrame:
     x = T.tokens(F.col("text"))

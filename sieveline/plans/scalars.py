@@ -24,6 +24,12 @@ def p6_strip_tags(t: Tables) -> DataFrame:
     return x.select("page_id", F.length("x").cast("long").alias("n"), F.substring("x", 1, 80).alias("head"))
 
 
+@query("SELECT page_id, length(x) AS n, md5(x) AS hash FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS x FROM pages)")
+def p6_strip_tags_whole(t: Tables) -> DataFrame:
+    x = t.pages.select("page_id", T.strip_tags(F.col("html")).alias("x"))
+    return x.select("page_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("hash"))
+
+
 def decoded(c: str) -> str:
     for a, b in T.ENTITIES.items():
         c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"

@@ -1,5 +1,6 @@
 """Queries that do the whole job, against brute force on small tables that a cut would change."""
 
+import hashlib
 import math
 import random
 import re
@@ -82,3 +83,10 @@ def test_co_rated_items_are_not_folded(spark, tmp_path):
     assert run("a10_item_cooccurrence") == sorted((a, b, c) for a, t in kept.items() for b, c in t)
     assert run("b4_item_bags") == sorted((a, len(t), ",".join(str(b) for b, _ in t)) for a, t in kept.items() if len(t) >= 2)
     assert run("j8_item_pairs") == [(sum(n.values()),) * 2]
+
+
+def test_p6_and_p1_show_a_change_behind_the_prefix(spark, tmp_path):
+    texts = ["word " * 40 + tail for tail in ("abc", "abd")]
+    folder = at(spark, tmp_path, pages=([(i, f"<p>{x}</p>") for i, x in enumerate(texts)], "page_id long, html string"), documents=(list(enumerate(texts)), "doc_id long, text string"))
+    for name in ("p6_strip_tags_whole", "p1_tokens_whole"):
+        assert {r["hash"] for r in plans.queries()[name](spark, folder).collect()} == {hashlib.md5(x.encode()).hexdigest() for x in texts}
