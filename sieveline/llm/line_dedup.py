@@ -5,8 +5,8 @@
 2. The distinct hashes are dealt to shards of bounded size. A shard is a minimal perfect
    hash over its hashes, with a fingerprint and a count array in its order.
 3. Lines of more than T / FRONT documents (T: the sum of all counts) go into one more
-   index, the front. There are at most FRONT of these, so its size has a bound and it is
-   broadcast. All documents probe it where they are read.
+   index, the front. There are at most FRONT of these, so its size has a bound; it is built
+   once and broadcast. All documents probe it where they are read.
 4. The other lines travel as hashes with the place they come from, one row per batch and
    hash, to the shard, probe its arrays, and only places to drop travel back. No key has
    more than T / FRONT places there, so no group is unbounded.
@@ -16,7 +16,7 @@ Null and empty texts are one empty line. A key is a line without white space at
 and with A-Z lowered; a key of fewer than `min_points` code points is never dropped. Each
 row counts as a document, also if it repeats another one; rows alike in doc_id and text
 get the same result. Null doc_ids are kept. An empty table gives an empty result. Columns
-besides doc_id and text are carried along untouched.
+besides doc_id and text are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, free_names, map_batches
 
 MIN_DOCS, MIN_POINTS = 10, 1
 #: Hashes in a shard; places in a shard; entries of the front.
@@ -168,7 +168,7 @@ def _counted(docs: DataFrame, min_points: int) -> DataFrame:
         pairs = [hash_of(k) for k in n if long_enough(k, min_points)]
         return {"h1": [a for a, _ in pairs], "h2": [b for _, b in pairs], "n": [v for k, v in n.items() if long_enough(k, min_points)]}
 
-    return map_batches(docs.select(F.col("text").cast("binary").alias("text")), batch, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("text"), batch, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
 def _built(counted: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _probes(docs: DataFrame, front, min_docs: int, min_points: int) -> DataFrame
     """Rows (h1, h2, places, drop) per batch and line hash; drop: the front has said so already."""
 
     def setup() -> dict:
-        return {"index": Index.build(*front.value)}
+        return {"index": Index.load(front.value)}
 
     def batch(rows: dict, index: Index) -> dict:
         places: dict[bytes, list] = {}
@@ -199,8 +199,7 @@ def _probes(docs: DataFrame, front, min_docs: int, min_points: int) -> DataFrame
         h = np.array([hash_of(k) for k in keys], np.int64).reshape(-1, 2)
         return {"h1": h[:, 0], "h2": h[:, 1], "places": [places[k] for k in keys], "drop": index.count(h[:, 0].copy(), h[:, 1]) >= min_docs}
 
-    own = docs.select("doc_id", "th", F.col("text").cast("binary").alias("text"))
-    return map_batches(own, batch, f"h1 long, h2 long, places array<{PLACE}>, drop boolean", setup)
+    return map_batches(docs, batch, f"h1 long, h2 long, places array<{PLACE}>, drop boolean", setup)
 
 
 def _answers(arrays: pa.Table, probes: pa.Table, min_docs: int) -> pa.Table:
@@ -220,26 +219,38 @@ def rebuilt(text: bytes | None, drop: list[int] | None) -> bytes:
     return b"\n".join(x for i, x in enumerate((text or b"").split(b"\n")) if i not in gone)
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS, shard_keys: int = SHARD_KEYS, front_size: int = FRONT) -> DataFrame:
-    """docs with `__drop`, the line numbers to drop (null or empty: none), and `__th`."""
+def drop_lists(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS, shard_keys: int = SHARD_KEYS, front_size: int = FRONT) -> DataFrame:
+    """(doc_id, th, lines): the line numbers to drop, for documents that lose any. th: a hash of the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    probed = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text")
-    counted = scratch.write(_counted(docs, min_points))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    counted = scratch.write(_counted(own, min_points))
     size = counted.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("places")).first()
     shards = max(1, -(-size["keys"] // shard_keys), -(-size["places"] // SHARD_PLACES))
     shard = F.pmod("h1", F.lit(shards)).cast("long").alias("shard")
     # At most front_size hashes have more than places / front_size documents.
     cut = max(min_docs, size["places"] // front_size + 1)
-    often = counted.where(F.col("n") >= cut).orderBy(F.desc("n"), "h1", "h2").limit(front_size).toPandas()
-    front = spark.sparkContext.broadcast(tuple(often[c].to_numpy(np.int64) for c in ("h1", "h2", "n")))
+    often = counted.where(F.col("n") >= cut).orderBy(F.desc("n"), "h1", "h2").limit(front_size).toArrow()
+    front = spark.sparkContext.broadcast(Index.build(*(often[c].to_numpy() for c in ("h1", "h2", "n"))).dump())
     arrays = scratch.write(_built(counted.select(shard, "h1", "h2", "n")))
-    probes = _probes(probed, front, min_docs, min_points)
+    scratch.drop(counted)
+    probes = scratch.write(_probes(own, front, min_docs, min_points))
+    front.destroy()
     answered = probes.where(~F.col("drop")).select(shard, "h1", "h2", "places").groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(lambda probes, arrays: _answers(arrays, probes, min_docs), f"places array<{PLACE}>")
-    drops = probes.where("drop").select("places").unionByName(answered).select(F.explode("places").alias("p")).groupBy(F.col("p.doc_id").alias("__id"), F.col("p.th").alias("__hash")).agg(F.collect_list("p.line").alias("__drop"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(drops["__id"]) & (keyed["__th"] == drops["__hash"])
-    return keyed.join(drops.hint("shuffle_hash"), same, "left").drop("__id", "__hash")
+    drops = probes.where("drop").select("places").unionByName(answered).select(F.explode("places").alias("p"))
+    out = scratch.write(drops.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th")).agg(F.collect_set("p.line").alias("lines")))
+    scratch.drop(arrays)
+    scratch.drop(probes)
+    return out
+
+
+def dedup(docs: DataFrame, name: str, **settings) -> DataFrame:
+    """docs with one more column of this name: the line numbers to drop (null: none)."""
+    th, own_id, own_th, lines = free_names(docs.withColumn(name, F.lit(0)), "th", "id", "own_th", "lines")
+    drops = drop_lists(docs, **settings).toDF(own_id, own_th, lines)
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th))
+    return keyed.join(drops.hint("shuffle_hash"), same, "left").withColumn(name, F.col(lines)).drop(th, own_id, own_th, lines)
 
 
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
@@ -251,26 +262,28 @@ def report(docs: DataFrame, **settings) -> DataFrame:
 
     def batch(rows: dict) -> dict:
         out: dict = {"doc_id": rows["doc_id"], "n_lines": [], "n_dropped": [], "kept_sha256": [], "kept": []}
-        for text, drop in zip(rows["text"], rows["__drop"], strict=True):
-            kept, gone = rebuilt(text, drop), len(set(drop or ()))
-            for c, v in (("n_lines", (text or b"").count(b"\n") + 1), ("n_dropped", gone), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode())):
+        for text, lines in zip(rows["text"], rows["lines"], strict=True):
+            kept = rebuilt(text, lines)
+            for c, v in (("n_lines", (text or b"").count(b"\n") + 1), ("n_dropped", len(lines or ())), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode())):
                 out[c].append(v)
         return out
 
-    found = dedup(docs.select("doc_id", "text"), **settings)
-    return map_batches(found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "__drop"), batch, RESULT)
+    found = dedup(docs.select("doc_id", "text"), "lines", **settings)
+    return map_batches(found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lines"), batch, RESULT)
 
 
 def clean(docs: DataFrame, **settings) -> DataFrame:
     """docs, with their own columns, without the lines that are dropped; n_chars, if there, follows the text."""
+
     @F.pandas_udf("string")
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, drops in batches:
-            yield pd.Series([rebuilt(t, list(d) if d is not None else None).decode() for t, d in zip(texts, drops, strict=True)], dtype=object)
+        for texts, lines in batches:
+            yield pd.Series([rebuilt(t, list(d) if d is not None else None).decode() for t, d in zip(texts, lines, strict=True)], dtype=object)
 
-    found = dedup(docs, **settings)
-    changed = F.size(F.coalesce("__drop", F.array().cast("array<int>"))) > 0
-    out = found.withColumn("text", F.when(changed, keep(F.coalesce("text", F.lit("")).cast("binary"), "__drop")).otherwise(F.col("text")))
+    (lines,) = free_names(docs, "lines_to_drop")
+    found = dedup(docs, lines, **settings)
+    changed = F.col(lines).isNotNull()
+    out = found.withColumn("text", F.when(changed, keep(F.coalesce("text", F.lit("")).cast("binary"), lines)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

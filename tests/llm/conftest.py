@@ -27,3 +27,12 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def odd_rows(odd_docs):
     return [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+
+
+@pytest.fixture(scope="session")
+def clash_docs(odd_docs):
+    """The odd rows beside columns that have the names operators use for their own."""
+    from pyspark.sql import functions as F
+
+    names = "TH own_id Own_Th number id lines lines_to_drop n1 n2 node keys spans place part unit band __th __hash __id __drop __n".split()
+    return odd_docs.select("*", *(F.coalesce("doc_id", F.lit(-1)).alias(c) for c in names))

@@ -41,3 +41,12 @@ def test_clean(odd_docs, odd_rows, no_docs):
     assert all("Shared Line" not in r["text"] and r["n_chars"] == len(r["text"]) for r in texts.values())
     assert out.where("doc_id = 0").first()["text"] is None
     assert m.clean(no_docs).count() == m.report(no_docs).count() == 0
+
+
+def test_columns_of_any_name_are_carried_along(clash_docs, odd_docs):
+    out = m.clean(clash_docs)
+    assert out.columns == clash_docs.columns
+    rows = lambda x, cols: sorted(map(tuple, x.select(*cols).collect()), key=repr)
+    assert rows(out, odd_docs.columns) == rows(m.clean(odd_docs), odd_docs.columns)
+    own = [c for c in clash_docs.columns if c not in odd_docs.columns]
+    assert all({*r[1:]} == {-1 if r[0] is None else r[0]} for r in out.select("doc_id", *own).collect())
