@@ -9,7 +9,7 @@ from .common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b); root is one of the component's nodes.
+    """(node, root) for the nodes of edges (a, b), as a written table; root is one of the component's nodes.
 
     In each round every node points to the neighbour, or itself, that a hash of this round
     puts first; the edges between what is pointed at remain. A random order removes a
@@ -33,4 +33,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         for old in (both, rooted, first):
             scratch.drop(old)
         both, rooted = after, moved
+    scratch.drop(both)
     return rooted

@@ -29,7 +29,7 @@ def near(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), rows
 
 
-@pytest.mark.parametrize("block", [1000, 4])
+@pytest.mark.parametrize("block", [1000, 4, 1])
 def test_links_and_classes_against_brute_force(near, block):
     docs, rows = near
     sets = [grams(t) for _, t in rows]
@@ -75,3 +75,49 @@ def test_shingles_match_tuples():
     for i, j in combinations(range(0, 200, 9), 2):
         own, other = (h[after[k] : after[k + 1]] for k in (i, j))
         assert len(np.intersect1d(own, other)) == len(grams(texts[i]) & grams(texts[j]))
+
+
+def test_columns_of_any_name_are_carried_along(clash_docs, odd_docs):
+    out = m.clean(clash_docs)
+    assert out.columns == clash_docs.columns
+    rows = lambda x: sorted(map(tuple, x.select("doc_id", "text").collect()), key=repr)
+    assert rows(out) == rows(m.clean(odd_docs))
+    own = [c for c in clash_docs.columns if c not in odd_docs.columns]
+    assert all({*r[1:]} == {-1 if r[0] is None else r[0]} for r in out.select("doc_id", *own).collect())
+
+
+def test_a_chain_is_verified_key_by_key_and_a_group_as_a_whole(spark, tmp_path):
+    """A loose chain goes by its keys, near copies by their component; either way links are exact."""
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(4000)]
+    chain = [" ".join(words[i * 14 : i * 14 + 60]) for i in range(240)]
+    base = [f"b{r.randint(0, 10**6)}" for _ in range(90)]
+    group = []
+    for _ in range(40):
+        w = list(base)
+        w[r.randrange(90)] = f"v{r.randint(0, 99)}"
+        group.append(" ".join(w))
+    texts = chain + group + [" ".join(words[i * 14 + 1 : i * 14 + 60]) for i in range(0, 240, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [grams(t) for t in texts]
+    want = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
+    scratch = m.Scratch(spark, "test")
+    own = docs.select("doc_id", m.F.xxhash64("text").alias("th"), m.F.col("text").cast("binary").alias("text"))
+    signs = m.signed(own, 5, m.plan_bands(), m.ROWS).withColumnRenamed("doc_id", "node")
+    units = m._units(signs, scratch, 8).collect()
+    kinds = {i: {u["band"] for u in units if u["node"] == i} for i in range(len(texts))}
+    assert any(-1 not in kinds[i] and kinds[i] for i in range(240)) and all(kinds[i] == {-1} for i in range(240, 280))
+    got = {x["doc_id"]: x["n_links"] for x in m.join(docs, block=8).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(want) > 200
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_measured_recall_of_the_bands(similarity):
+    """Pairs of sets at exactly this similarity share a key as often as planned."""
+    r, pairs = np.random.default_rng(4), 3000
+    both, each = round(120 * similarity), 60 - round(60 * similarity)
+    fresh = r.integers(0, 2**63, (pairs, both + 2 * each)).astype(np.uint64)
+    x = np.concatenate((fresh[:, : both + each], np.concatenate((fresh[:, :both], fresh[:, both + each :]), axis=1))).ravel()
+    keys = m.band_keys(x, np.arange(2 * pairs + 1) * (both + each), m.plan_bands(), m.ROWS)
+    assert both / (both + 2 * each) == pytest.approx(similarity)
+    assert (keys[:pairs] == keys[pairs:]).any(axis=1).mean() >= 0.999
