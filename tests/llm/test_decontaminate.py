@@ -10,7 +10,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def brute(docs, items):
     low = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-    wins = [(str(i) if i is not None else "null", w[a : a + 13]) for i, t in items for w in [low(t)] for a in range(max(1, len(w) - 12) if w else 0)]
+    wins = [(None if i is None else str(i), w[a : a + 13]) for i, t in items for w in [low(t)] for a in range(max(1, len(w) - 12) if w else 0)]
     out = []
     for doc, t in docs:
         w = low(t)
@@ -20,7 +20,7 @@ def brute(docs, items):
                 if w[a : a + len(p)] == p:
                     hit.update(range(a, a + len(p)))
                     ids.add(i)
-        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted("null" if i is None else i for i in ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
@@ -47,8 +47,18 @@ def test_spans_point_into_the_original(spark):
     assert ["É — Common, Tail! x"[a:b] for a, b in s] == ["Common, Tail"]
 
 
-def test_clean_keeps_columns(odd_docs, benchmark, no_docs, spark):
-    out = m.clean(odd_docs, benchmark)
+def test_an_item_without_id_is_not_one_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "one two, three four"), (2, "three four")], "doc_id long, text string")
+    bench = spark.createDataFrame([("null", "one two"), (None, "three four"), (None, "two three")], "item_id string, text string")
+    got = sorted((r["doc_id"], r["n_items"], r["item_ids"]) for r in m.mark(docs, bench).collect())
+    assert got == [(1, 2, ["null", "null"]), (2, 1, ["null"])]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 3000])
+def test_clean_keeps_columns(odd_docs, clash_docs, benchmark, no_docs, spark, limit):
+    out = m.clean(odd_docs, benchmark, limit)
+    own = m.clean(clash_docs, benchmark, limit)
+    assert own.columns == clash_docs.columns and sorted(map(tuple, own.select(*odd_docs.columns).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
     assert out.columns == odd_docs.columns
     marked = m.mark(odd_docs, benchmark)
     assert out.count() == marked.where("NOT contaminated").count()
