@@ -64,6 +64,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at PART_BYTES too, not at a number of rows only, unless the session says otherwise.
+
+    A batch of 10,000 long texts would stand several times in the JVM and in the Python worker.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(PART_BYTES))
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -77,6 +87,7 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, se
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_names, map_batches, text_bytes
+from .common import Scratch, bounded_batches, free_names, map_batches, text_bytes
 
 WINDOW = 13
 #: A document counts as contaminated from this share of hit words on: 1/20.
@@ -120,11 +120,11 @@ def _sent(items: DataFrame):
     return items.sparkSession.sparkContext.broadcast([(r["item_id"], normal_words(r["text"])) for r in items.toLocalIterator()])
 
 
-def _result(rows: dict, hits: list[tuple[list[bytes], np.ndarray, set]]) -> dict:
+def _result(rows: dict, hits: Iterator[tuple[np.ndarray, set]]) -> dict:
     out: dict = {c: [] for c in NAMES}
-    for doc_id, raw, (words, hit, ids) in zip(rows["doc_id"], rows["text"], hits, strict=True):
+    for doc_id, raw, (hit, ids) in zip(rows["doc_id"], rows["text"], hits, strict=True):
         k, names = int(hit.sum()), shown(ids)
-        for c, v in zip(NAMES, (doc_id, len(words), k, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(k, len(words)), names, [{"start": a, "stop": b} for a, b in spans(raw, hit)]), strict=True):
+        for c, v in zip(NAMES, (doc_id, len(hit), k, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(k, len(hit)), names, [{"start": a, "stop": b} for a, b in spans(raw, hit)]), strict=True):
             out[c].append(v)
     return out
 
@@ -162,24 +162,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = 64 << 2
         sent = _sent(passes[0])
 
         def batch(rows: dict, a) -> dict:
-            words = [normal_words(raw) for raw in rows["text"]]
-            return _result(rows, [(w, *scan(a, w)) for w in words])
+            return _result(rows, (scan(a, normal_words(raw)) for raw in rows["text"]))
 
         return map_batches(own.select("doc_id", "text"), batch, SCHEMA, lambda: {"a": automaton(sent.value)})
 
-    def united(rows: dict) -> dict:
-        hits = []
+    def hits(rows: dict) -> Iterator[tuple[np.ndarray, set]]:
         for raw, first, stop, ids in zip(rows["text"], rows["first"], rows["stop"], rows["ids"], strict=True):
-            words = normal_words(raw)
-            hit = np.zeros(len(words), bool)
+            hit = np.zeros(len(normal_words(raw)), bool)
             for a, b in zip(first or (), stop or (), strict=True):
                 hit[a:b] = True
-            hits.append((words, hit, set(ids or ())))
-        return _result(rows, hits)
+            yield hit, set(ids or ())
 
     found = _found(own, passes).alias("f").hint("shuffle_hash")
     both = own.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
-    return map_batches(both.select("d.doc_id", "d.text", "f.first", "f.stop", "f.ids"), united, SCHEMA)
+    return map_batches(both.select("d.doc_id", "d.text", "f.first", "f.stop", "f.ids"), lambda rows: _result(rows, hits(rows)), SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = 64 << 20) -> DataFrame:
@@ -195,14 +191,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = 64 <<
         dirty = n.where((hit > 0) & (SHARE * hit >= words)).select(F.col("d.doc_id").alias(own_id), F.col("d.th").alias(own_th))
         same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th))
         return docs.withColumn(th, F.xxhash64("text")).join(dirty, same, "left_anti").drop(th)
+    bounded_batches(docs.sparkSession)
     sent = _sent(passes[0])
 
     @F.pandas_udf("boolean")
     def dirty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = automaton(sent.value)
         for texts in batches:
-            words = [normal_words(raw) for raw in texts]
-            yield pd.Series([contaminated(int(scan(a, w)[0].sum()), len(w)) for w in words], dtype=bool)
+            found = (scan(a, normal_words(raw))[0] for raw in texts)  # a text's words at a time
+            yield pd.Series([contaminated(int(hit.sum()), len(hit)) for hit in found], dtype=bool)
 
     return docs.where(~dirty(text_bytes()))
 
