@@ -172,10 +172,9 @@ def _verify(t: pa.Table, words: int, similarity: Fraction, band: int, whole: boo
 
 def _units(classes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """(node, unit, band, members): what is verified together; band -1: a whole component."""
-    keyed = scratch.write(classes.select("node", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")))
+    keyed = classes.select("node", F.posexplode("keys").alias("band", "key")).withColumn("key", F.xxhash64("band", "key"))
     filled = scratch.write(keyed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
     shared_keys = scratch.write(keyed.join(filled, ["band", "key"]))
-    scratch.drop(keyed)
     groups = components(shared_keys.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch)
     rooted = filled.join(groups, F.col("hub") == F.col("node"))
     by_keys = rooted.groupBy("root").agg(F.sum(F.col("members") * (F.col("members") - 1.0)).alias("by_keys"))
