@@ -180,7 +180,7 @@ def features(n: Node, parent: Node | None) -> tuple[str, ...]:
     a = n.attributes
     for key in ("class", "id", "role", "itemprop"):
         if a.get(key):
-            out += [f"name:{w.lower()}" for w in NAME.findall(a[key])[:12]]
+            out += [f"name:{w.lower()}" for w in NAME.findall(a[key])]
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         out.append("hidden")
     return tuple(out)
