@@ -28,11 +28,11 @@ def qrels(t: Tables) -> DataFrame:
     return d.join(q, "r").where("query_id <> doc_id").select("query_id", "doc_id", grade.alias("grade"))
 
 
-def recalls(t: Tables) -> DataFrame:
+def recalls(t: Tables, k: int = 50) -> DataFrame:
     """query_id, n, ra, rb, rc."""
     j, out = qrels(t), None
     for i, c in enumerate(("ra", "rb", "rc")):
-        r = M.recall(j, run(t, 100, i), 50).select("query_id", F.col("n_rel").alias("n"), (F.col("n_hit") / F.col("n_rel")).alias(c))
+        r = M.recall(j, run(t, 100, i), k).select("query_id", F.col("n_rel").alias("n"), (F.col("n_hit") / F.col("n_rel")).alias(c))
         out = r if out is None else out.join(r.drop("n"), "query_id")
     return out
 

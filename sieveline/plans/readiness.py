@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import bags as B
 from ..operators import dense as D
-
+from ..operators import readiness as R
 from .dense import PAIRS, run, run_sql, vectors
-from .metrics import QRELS, RUNS, qrels, recalls
+from .metrics import QRELS, RUNS, member_pairs, qrels, recalls
 from .registry import Tables, query
 
 BAGS = f"WITH {PAIRS}, {QRELS}, p AS (SELECT query_id, doc_id, grade, count(*) OVER (PARTITION BY query_id) AS n0, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place FROM j WHERE grade >= 2), bm AS (SELECT query_id, doc_id, grade, place FROM p WHERE n0 >= 2 AND place <= 50)"
@@ -166,45 +166,72 @@ def b12b_triplets_wide(t: Tables) -> DataFrame:
     return B.triplets(qrels(t), F.col("grade") == 3, F.col("grade") < 2)
 
 
-CHS = f"""WITH {PAIRS}, {QRELS}, m AS (SELECT query_id, doc_id, grade, v FROM j JOIN e ON e.vec_id = doc_id), ok AS (SELECT query_id FROM m WHERE grade >= 2 GROUP BY query_id HAVING count(*) >= 2),
-i AS (SELECT x.query_id, avg(list_dot_product(x.v, y.v)) AS intra FROM m x JOIN m y ON x.query_id = y.query_id AND x.doc_id < y.doc_id AND x.grade >= 2 AND y.grade >= 2 JOIN ok ON ok.query_id = x.query_id GROUP BY x.query_id),
-g AS (SELECT x.query_id, avg(list_dot_product(x.v, y.v)) AS neg FROM m x JOIN m y ON x.query_id = y.query_id AND x.grade >= 2 AND y.grade = 0 JOIN ok ON ok.query_id = x.query_id GROUP BY x.query_id),
-touched AS (SELECT DISTINCT doc_id FROM j), rnd AS (SELECT avg(list_dot_product(x.v, y.v)) AS rand FROM (SELECT * FROM e JOIN touched ON vec_id = doc_id) x JOIN (SELECT * FROM e JOIN touched ON vec_id = doc_id) y ON x.vec_id < y.vec_id),
-c AS (SELECT (SELECT avg(intra) FROM i) AS intra, (SELECT avg(neg) FROM g) AS neg, (SELECT rand FROM rnd) AS rand, (SELECT count(*) FROM ok) AS n)"""
+#: Cohesion by corpus: `m` is the judgments with vectors and `corpus`, `exp` the queries with negatives too.
+COHESION = """ok AS (SELECT corpus, query_id FROM m WHERE grade >= 2 GROUP BY ALL HAVING count(*) >= 2),
+i AS (SELECT x.corpus, x.query_id, avg(list_dot_product(x.v, y.v)) AS intra, max(round(list_dot_product(x.v, y.v), 6)) AS pp_max FROM m x JOIN m y ON x.query_id = y.query_id AND x.doc_id < y.doc_id AND x.grade >= 2 AND y.grade >= 2 JOIN ok ON ok.query_id = x.query_id GROUP BY ALL),
+g AS (SELECT x.query_id, avg(list_dot_product(x.v, y.v)) AS neg, max(round(list_dot_product(x.v, y.v), 6)) AS pn_max FROM m x JOIN m y ON x.query_id = y.query_id AND x.grade >= 2 AND y.grade = 0 JOIN ok ON ok.query_id = x.query_id GROUP BY x.query_id),
+touched AS (SELECT DISTINCT corpus, doc_id, v FROM m), rnd AS (SELECT x.corpus, avg(list_dot_product(x.v, y.v)) AS rand FROM touched x JOIN touched y ON x.corpus = y.corpus AND x.doc_id < y.doc_id GROUP BY x.corpus),
+w AS (SELECT i.corpus, count(*) AS n, avg(intra) AS intra, count(neg) AS n_exp, avg(CASE WHEN neg IS NOT NULL THEN intra END) AS intra_exp, avg(neg) AS neg, avg(CASE WHEN neg IS NOT NULL THEN CAST(pn_max > pp_max AS INTEGER) END) AS strong FROM i LEFT JOIN g ON g.query_id = i.query_id GROUP BY i.corpus),
+cohesion AS (SELECT w.*, rand, (intra - rand) / greatest(1 - rand, 1e-6) AS schs FROM w JOIN rnd USING (corpus))"""
+
+
+def judged_vectors(corpus: str) -> str:
+    return f"m AS (SELECT query_id, doc_id, grade, v, {corpus} AS corpus FROM j JOIN e ON e.vec_id = doc_id)"
+
+
+CHS = f"WITH {PAIRS}, {QRELS}, {judged_vectors('0')}, {COHESION}"
 
 
 def chs(t: Tables, judged: DataFrame, ids: str = "doc_id", groups: str = "query_id") -> DataFrame:
-    """n, intra, neg, rand: mean pairwise cosines within positives, to negatives, and among all touched.
+    """By corpus: n, intra, rand, schs, and over the groups with negatives n_exp, intra_exp, neg.
 
-    All three are sums over vector sums: no pair is ever made.
+    Mean pairwise cosines within positives, to negatives, and among all touched. All are
+    sums over vector sums: no pair is ever made. judged has a column corpus.
     """
     v = t.embeddings.select(F.col("vec_id").alias(ids), F.col("embedding").alias("v"))
     m = judged.join(v, ids)
-    p = V.sums(m.where("grade >= 2").select(groups, "v"), [groups]).where("n >= 2")
+    p = V.sums(m.where("grade >= 2").select("corpus", groups, "v"), ["corpus", groups]).where("n >= 2")
     q = V.sums(m.where("grade = 0").select(groups, "v"), [groups]).select(groups, F.col("total").alias("nt"), F.col("n").alias("nn"))
-    within = p.select(V.coherence(F.col("total"), F.col("n")).alias("x")).agg(F.count("*").alias("n"), F.avg("x").alias("intra"))
-    across = p.join(q, groups).select((V.dot(F.col("total"), F.col("nt")) / (F.col("n") * F.col("nn"))).alias("x")).agg(F.avg("x").alias("neg"))
-    touched = V.sums(v.join(judged.select(ids).distinct(), ids).withColumn("g", F.lit(0)), ["g"]).select(V.coherence(F.col("total"), F.col("n")).alias("rand"))
-    return within.crossJoin(F.broadcast(across)).crossJoin(F.broadcast(touched))
+    each = p.join(q, groups, "left").select("corpus", V.coherence(F.col("total"), F.col("n")).alias("x"), (V.dot(F.col("total"), F.col("nt")) / (F.col("n") * F.col("nn"))).alias("y"))
+    has = F.col("y").isNotNull()
+    within = each.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("x").alias("intra"), F.count("y").alias("n_exp"), F.avg(F.when(has, F.col("x"))).alias("intra_exp"), F.avg("y").alias("neg"))
+    touched = V.sums(v.join(judged.select("corpus", ids).distinct(), ids), ["corpus"]).select("corpus", V.coherence(F.col("total"), F.col("n")).alias("rand"))
+    schs = (F.col("intra") - F.col("rand")) / F.greatest(1 - F.col("rand"), F.lit(1e-6))
+    return within.join(touched, "corpus").withColumn("schs", schs)
 
 
+def one_corpus(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("corpus", F.lit(0).cast("long"))
 
 
-def scored_chs(x: DataFrame) -> DataFrame:
-    schs = (F.col("intra") - F.col("rand")) / F.greatest(1 - F.col("rand"), F.lit(1e-6))
-    hchs = (F.col("intra") - F.col("neg")) / F.greatest(F.col("intra") - F.col("rand"), F.lit(1e-6))
-    return x.withColumn("schs", schs).withColumn("hchs", hchs)
+@query(f"{CHS} SELECT n, round(intra, 5) AS intra, round(rand, 5) AS rand, round(schs, 5) AS schs, CASE WHEN schs >= .5 THEN 'GREEN' WHEN schs >= .4 THEN 'YELLOW' ELSE 'RED' END AS verdict, n < 500 AS small FROM cohesion")
+def c5_chs(t: Tables) -> DataFrame:
+    x = chs(t, one_corpus(qrels(t)))
+    return x.select("n", *(F.round(c, 5).alias(c) for c in ("intra", "rand", "schs")), R.colour(F.col("schs")).alias("verdict"), (F.col("n") < 500).alias("small"))
 
 
-def verdict(schs, n):
-    return F.when(schs.isNull(), "UNDETERMINED").when(schs >= 0.5, "GREEN").when(schs >= 0.4, "YELLOW").otherwise("RED"), n < 500
+EXPLICIT = "SELECT n_exp, CASE WHEN n_exp >= {least} THEN round(intra_exp, 5) END AS intra_exp, CASE WHEN n_exp >= {least} THEN round(neg, 5) END AS neg, CASE WHEN n_exp >= {least} THEN round((intra_exp - neg) / greatest(intra_exp - rand, 1e-6), 5) END AS hchs, CASE WHEN n_exp >= {least} THEN round(strong, 5) END AS strong_inversions FROM cohesion"
 
 
-@query(f"{CHS} SELECT n, round(intra, 5) AS intra, round(neg, 5) AS neg, round(rand, 5) AS rand, round((intra - rand) / greatest(1 - rand, 1e-6), 5) AS schs, CASE WHEN (intra - rand) / greatest(1 - rand, 1e-6) >= .5 THEN 'GREEN' WHEN (intra - rand) / greatest(1 - rand, 1e-6) >= .4 THEN 'YELLOW' ELSE 'RED' END AS verdict, n < 500 AS small FROM c")
-def c5_chs(t: Tables) -> DataFrame:
-    x = scored_chs(chs(t, qrels(t)))
-    colour, small = verdict(F.col("schs"), F.col("n"))
-    return x.select("n", *(F.round(c, 5).alias(c) for c in ("intra", "neg", "rand", "schs")), colour.alias("verdict"), small.alias("small"))
+def explicit(t: Tables, least: int) -> DataFrame:
+    """HCHS and the share of strong inversions over queries with explicit negatives; null for fewer than `least` of them."""
+    x = chs(t, one_corpus(qrels(t)))
+    top = member_pairs(t).groupBy("query_id").agg(F.count_if(~F.col("negative")).alias("pairs"), F.max(F.when(~F.col("negative"), F.col("s"))).alias("pp"), F.max(F.when(F.col("negative"), F.col("s"))).alias("pn"))
+    strong = top.where("pairs > 0 AND pn IS NOT NULL").agg(F.avg(F.when(F.col("pn") > F.col("pp"), 1.0).otherwise(0.0)).alias("strong"))
+    hchs = (F.col("intra_exp") - F.col("neg")) / F.greatest(F.col("intra_exp") - F.col("rand"), F.lit(1e-6))
+    shown = {"intra_exp": F.col("intra_exp"), "neg": F.col("neg"), "hchs": hchs, "strong_inversions": F.col("strong")}
+    return x.crossJoin(F.broadcast(strong)).select("n_exp", *(F.when(F.col("n_exp") >= least, F.round(c, 5)).alias(name) for name, c in shown.items()))
+
+
+@query(f"{CHS} {EXPLICIT.format(least=50)}")
+def c5_hchs(t: Tables) -> DataFrame:
+    return explicit(t, 50)
+
+
+@query(f"{CHS} {EXPLICIT.format(least=10)}")
+def c5_hchs_few(t: Tables) -> DataFrame:
+    """The same for corpora of few queries: ten of them are enough."""
+    return explicit(t, 10)
 
 
 @query(f"""WITH {PAIRS}, {QRELS}, m AS (SELECT doc_id, query_id, v FROM j JOIN e ON e.vec_id = query_id WHERE grade >= 2), ok AS (SELECT doc_id FROM m GROUP BY doc_id HAVING count(*) >= 2),
@@ -212,7 +239,7 @@ i AS (SELECT x.doc_id, avg(list_dot_product(x.v, y.v)) AS intra FROM m x JOIN m
 SELECT count(*) AS n, round(avg(intra), 5) AS intra, round(any_value(rand), 5) AS rand, round((avg(intra) - any_value(rand)) / greatest(1 - any_value(rand), 1e-6), 5) AS schs FROM i, r""")
 def c7_query_side_chs(t: Tables) -> DataFrame:
     """The same with roles swapped: a document as the set of its queries."""
-    x = scored_chs(chs(t, qrels(t), ids="query_id", groups="doc_id"))
+    x = chs(t, one_corpus(qrels(t)), ids="query_id", groups="doc_id")
     return x.select("n", *(F.round(c, 5).alias(c) for c in ("intra", "rand", "schs")))
 
 
@@ -221,26 +248,31 @@ def c8_bag_stats(t: Tables) -> DataFrame:
     return described(t).agg(F.count("*").alias("n_bags"), F.median("n").alias("median_size"), F.round(F.median("specificity"), 6).alias("median_spec"))
 
 
-# Coefficients of the rescue predictor and of the three tax scenarios.
-RESCUE = {"log10_n": 5.459, "size": -0.014, "spec": 52.137, "constant": -46.872, "ceiling": 0.4}
-TAX = {"pessimistic": 0.15, "realistic": 0.10, "optimistic": 0.06}
-
-
-def rescue(n, size, spec, base):
-    points = (RESCUE["log10_n"] * F.log10(n) + RESCUE["size"] * size + RESCUE["spec"] * spec + RESCUE["constant"]) / 100
-    return F.when((n >= 10) & (base < 0.85), F.least(F.greatest(points, F.lit(0.0)), F.lit(RESCUE["ceiling"])))
+def ready_sql(corpus: str) -> str:
+    """CTEs to `z`: a row per corpus with bag statistics, base difficulty at 10, predicted rescue, cohesion and lifts."""
+    return f"""{BAGS}, {CENTRES}, {run_sql('a', 's', 100)}, {run_sql('b', 's1', 100)}, {judged_vectors(corpus)}, {COHESION},
+h AS (SELECT query_id, {corpus} AS corpus, count(*) AS n, count(a.rank) FILTER (WHERE a.rank <= 10) / count(*) AS ra, count(b.rank) FILTER (WHERE b.rank <= 10) / count(*) AS rb FROM j LEFT JOIN a USING (query_id, doc_id) LEFT JOIN b USING (query_id, doc_id) WHERE grade >= 2 GROUP BY ALL),
+bs AS (SELECT {corpus} AS corpus, count(*) AS n_bags, median(n) AS size, median(spec) AS spec FROM bags GROUP BY ALL),
+d AS (SELECT corpus, count(*) AS n_queries, avg(ra) AS r, avg(CASE WHEN ra = 0 THEN 1.0 ELSE 0 END) AS blind, avg(CASE WHEN ra = 1 THEN 1.0 ELSE 0 END) AS perfect, avg(rb) AS rb FROM h GROUP BY corpus),
+z0 AS (SELECT d.*, coalesce(n_bags, 0) AS n_bags, size, spec, schs, CASE WHEN n_bags >= 10 AND r < .85 THEN least(greatest((5.459 * log10(n_bags) - .014 * size + 52.137 * spec - 46.872) / 100, 0), .4) END AS rescue FROM d LEFT JOIN bs USING (corpus) LEFT JOIN cohesion USING (corpus)),
+z AS (SELECT *, blind * CASE WHEN rescue IS NULL THEN .05 ELSE greatest(rescue - .0266, 0) END - perfect * .15 * (1 - r) AS pessimistic, blind * coalesce(rescue, .12) - perfect * .10 * (1 - r) AS realistic, blind * coalesce(rescue + .0266, .25) - perfect * .06 * (1 - r) AS optimistic FROM z0)"""
 
 
-RESCUED = "s AS (SELECT count(*) AS n_bags, median(n) AS size, median(spec) AS spec FROM bags), d AS (SELECT avg(ra) AS r, avg(CASE WHEN ra = 0 THEN 1.0 ELSE 0 END) AS blind, avg(CASE WHEN ra = 1 THEN 1.0 ELSE 0 END) AS perfect, avg(rb) AS rb FROM h), z AS (SELECT *, CASE WHEN n_bags >= 10 AND r < .85 THEN least(greatest((5.459 * log10(n_bags) - .014 * size + 52.137 * spec - 46.872) / 100, 0), .4) END AS rescue FROM s, d)"
-READY = f"{BAGS}, {CENTRES}, {run_sql('a', 's', 100)}, {run_sql('b', 's1', 100)}, {run_sql('c', 's2', 100)}, h AS (SELECT query_id, count(*) AS n, count(a.rank) FILTER (WHERE a.rank <= 50) / count(*) AS ra, count(b.rank) FILTER (WHERE b.rank <= 50) / count(*) AS rb FROM j LEFT JOIN a USING (query_id, doc_id) LEFT JOIN b USING (query_id, doc_id) WHERE grade >= 2 GROUP BY query_id), {RESCUED}"
+READY = ready_sql("0")
+VERDICT = "CASE WHEN n_bags = 0 OR schs < .4 THEN 'SKIP' WHEN realistic > .01 AND optimistic >= .05 THEN 'GO' WHEN realistic > .01 THEN 'CONDITIONAL' ELSE 'SKIP' END"
+ZONE = "CASE WHEN schs >= .3 AND schs < .4 AND rescue >= .15 THEN 'high-rescue' WHEN schs >= .3 AND schs < .4 AND perfect < .05 THEN 'low-tax' END"
 
 
-def report(t: Tables) -> DataFrame:
-    """One row: bag statistics, base difficulty and predicted rescue."""
-    s = described(t).agg(F.count("*").alias("n_bags"), F.median("n").alias("size"), F.median("specificity").alias("spec"))
+def report(t: Tables, corpus=None) -> DataFrame:
+    """A row per corpus: bag statistics, base difficulty at 10, predicted rescue, cohesion and lift by scenario."""
+    at = (F.lit(0) if corpus is None else corpus).cast("long").alias("corpus")
+    s = described(t).groupBy(at).agg(F.count("*").alias("n_bags"), F.median("n").alias("size"), F.median("specificity").alias("spec"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    d = recalls(t).agg(F.avg("ra").alias("r"), share(F.col("ra") == 0).alias("blind"), share(F.col("ra") == 1).alias("perfect"), F.avg("rb").alias("rb"))
-    return s.crossJoin(F.broadcast(d)).withColumn("rescue", rescue(F.col("n_bags"), F.col("size"), F.col("spec"), F.col("r")))
+    d = recalls(t, 10).groupBy(at).agg(F.count("*").alias("n_queries"), F.avg("ra").alias("r"), share(F.col("ra") == 0).alias("blind"), share(F.col("ra") == 1).alias("perfect"), F.avg("rb").alias("rb"))
+    cohesion = chs(t, qrels(t).withColumn("corpus", at)).select("corpus", "schs")
+    x = d.join(s, "corpus", "left").join(cohesion, "corpus", "left").withColumn("n_bags", F.coalesce("n_bags", F.lit(0)))
+    x = x.withColumn("rescue", R.rescue(F.col("n_bags"), F.col("size"), F.col("spec"), F.col("r")))
+    return x.withColumns({c: R.lift(c, F.col("blind"), F.col("perfect"), F.col("r"), F.col("rescue")) for c in R.SCENARIOS})
 
 
 @query(f"{READY} SELECT n_bags, round(r, 6) AS base, round(rescue, 6) AS rescue FROM z")
@@ -248,19 +280,17 @@ def c9_rescue(t: Tables) -> DataFrame:
     return report(t).select("n_bags", F.round("r", 6).alias("base"), F.round("rescue", 6).alias("rescue"))
 
 
-@query(f"{READY} SELECT scenario, round(blind * rescue - perfect * k * (1 - r), 6) AS lift, round(blind * rescue - perfect * k * (1 - r) - .0266, 6) AS low, round(blind * rescue - perfect * k * (1 - r) + .0266, 6) AS high FROM z, (VALUES ('pessimistic', .15), ('realistic', .10), ('optimistic', .06)) k(scenario, k)")
+@query(f"{READY} SELECT scenario, round(lift, 6) AS lift FROM (UNPIVOT (SELECT pessimistic, realistic, optimistic FROM z) ON pessimistic, realistic, optimistic INTO NAME scenario VALUE lift)")
 def c10_lift_bands(t: Tables) -> DataFrame:
-    k = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("k")) for n, v in TAX.items()))).alias("t")
-    lift = F.col("blind") * F.col("rescue") - F.col("perfect") * F.col("t.k") * (1 - F.col("r"))
-    return report(t).select("*", k).select("t.scenario", F.round(lift, 6).alias("lift"), F.round(lift - 0.0266, 6).alias("low"), F.round(lift + 0.0266, 6).alias("high"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("scenario"), F.round(c, 6).alias("lift")) for c in R.SCENARIOS))).alias("x")
+    return report(t).select(each).select("x.scenario", "x.lift")
 
 
-@query(f"{READY}, cc AS (SELECT 0.0 AS x), l AS (SELECT *, blind * rescue - perfect * .06 * (1 - r) AS best, blind * rescue - perfect * .10 * (1 - r) AS real FROM z) SELECT CASE WHEN rescue IS NULL THEN 'SKIP' WHEN best >= .05 THEN 'GO' WHEN real > .01 THEN 'CONDITIONAL' ELSE 'SKIP' END AS verdict, round(best, 6) AS optimistic, round(real, 6) AS realistic FROM l")
+@query(f"{READY} SELECT {VERDICT} AS verdict, {ZONE} AS false_skip, n_bags, round(schs, 5) AS schs, round(optimistic, 6) AS optimistic, round(realistic, 6) AS realistic FROM z")
 def c11_verdict(t: Tables) -> DataFrame:
-    lift = lambda k: F.col("blind") * F.col("rescue") - F.col("perfect") * k * (1 - F.col("r"))
-    x = report(t).select("rescue", lift(TAX["optimistic"]).alias("best"), lift(TAX["realistic"]).alias("real"))
-    v = F.when(F.col("rescue").isNull(), "SKIP").when(F.col("best") >= 0.05, "GO").when(F.col("real") > 0.01, "CONDITIONAL").otherwise("SKIP")
-    return x.select(v.alias("verdict"), F.round("best", 6).alias("optimistic"), F.round("real", 6).alias("realistic"))
+    schs, n = F.col("schs"), F.col("n_bags")
+    v = R.verdict(schs, n, F.col("realistic"), F.col("optimistic")).alias("verdict")
+    return report(t).select(v, R.false_skip(schs, F.col("perfect"), F.col("rescue")).alias("false_skip"), "n_bags", F.round(schs, 5).alias("schs"), F.round("optimistic", 6).alias("optimistic"), F.round("realistic", 6).alias("realistic"))
 
 
 @query(f"{READY} SELECT round(r, 6) AS base, round(rb, 6) AS other, CASE WHEN rb > r + .02 THEN 'other' WHEN rb < r - .02 THEN 'base' ELSE 'hybrid' END AS architecture FROM z")
@@ -269,10 +299,13 @@ def c12_architecture(t: Tables) -> DataFrame:
     return report(t).select(F.round(a, 6).alias("base"), F.round(b, 6).alias("other"), F.when(b > a + 0.02, "other").when(b < a - 0.02, "base").otherwise("hybrid").alias("architecture"))
 
 
-@query(f"WITH {PAIRS}, {QRELS}, x AS (SELECT query_id % 40 // 20 AS corpus, grade FROM j) SELECT corpus, count(*) AS n_judged, round(avg(CASE WHEN grade >= 2 THEN 1.0 ELSE 0 END), 6) AS positive FROM x GROUP BY corpus")
+@query(f"{ready_sql('query_id % 40 // 20')} SELECT corpus, n_queries, round(r, 6) AS base, round(blind, 6) AS blind, round(perfect, 6) AS perfect, n_bags, size AS median_size, round(spec, 6) AS median_spec, round(rescue, 6) AS rescue, round(realistic, 6) AS realistic, round(optimistic, 6) AS optimistic, round(schs, 5) AS schs, {VERDICT} AS verdict FROM z")
 def c13_corpus_sweep(t: Tables) -> DataFrame:
-    corpus = F.floor(F.col("query_id") % 40 / 20).alias("corpus")
-    return qrels(t).groupBy(corpus).agg(F.count("*").alias("n_judged"), F.round(F.avg(F.when(F.col("grade") >= 2, 1.0).otherwise(0.0)), 6).alias("positive"))
+    """The whole report by corpus; two corpora by query here."""
+    x = report(t, F.floor(F.col("query_id") % 40 / 20))
+    v = R.verdict(F.col("schs"), F.col("n_bags"), F.col("realistic"), F.col("optimistic")).alias("verdict")
+    six = lambda c, name=None: F.round(c, 6).alias(name or c)
+    return x.select("corpus", "n_queries", six("r", "base"), six("blind"), six("perfect"), "n_bags", F.col("size").alias("median_size"), six("spec", "median_spec"), six("rescue"), six("realistic"), six("optimistic"), F.round("schs", 5).alias("schs"), v)
 
 
 @query(f"WITH {PAIRS}, {QRELS} SELECT query_id, count(*) FILTER (WHERE grade >= 2) AS strict_pos, count(*) FILTER (WHERE grade = 0) AS strict_neg, count(*) FILTER (WHERE grade >= 1) AS relaxed_pos, count(*) FILTER (WHERE grade <= 0) AS relaxed_neg, count(*) FILTER (WHERE grade >= 2) >= 2 AS eligible FROM j GROUP BY query_id")
