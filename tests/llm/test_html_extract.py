@@ -87,4 +87,10 @@ def test_column(spark):
 
 def test_pages_table(spark):
     out = m.main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()
-    assert all(r["n_chars"] == len(r["text"]) > 0 and "\n\n" in r["text"] or r["n_chars"] for r in out)
+    assert len(out) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and r["text"] == r["text"].strip() for r in out)
+    assert not any(x.isspace() and x != " " for r in out for b in r["text"].split("\n\n") for x in b)
+
+
+def test_all_words_of_a_name_count():
+    (node,) = (n for n in m.parse('<div class="' + " ".join(f"w{chr(97 + i)}" for i in range(20)) + ' sidebar">x</div>') if n.tag == "div")
+    assert "name:sidebar" in m.features(node, None)
