@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import shared_folder
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b).
@@ -17,8 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared checkpoint folder: lineage stays short and a lost executor costs no round.
     """
     spark = edges.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    root, made = f"{shared.rstrip('/')}/sieveline/components-{uuid.uuid4().hex}", iter(range(1 << 30))
+    root, made = f"{shared_folder(spark)}/sieveline/components-{uuid.uuid4().hex}", iter(range(1 << 30))
 
     def keep(df: DataFrame) -> DataFrame:
         path = f"{root}/{next(made)}"

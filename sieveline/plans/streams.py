@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import ledger
+from ..operators.storage import shared_folder
 from .registry import Tables, query
 
 
 def shared(t: Tables, name: str) -> str:
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{named.rstrip('/')}/sieveline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/sieveline/{name}-{uuid.uuid4().hex}"
 
 
 def events(t: Tables) -> DataFrame:
