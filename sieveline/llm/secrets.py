@@ -3,14 +3,15 @@
 Base patterns (assignments, access identifiers, hexadecimal strings) are always
 reported. Besides them there are weak candidates: account names, unlabelled random
 strings and endpoints. Each has a role (identifier, secret, endpoint); so have the base
-spans. A scope is a block of lines without an empty line in it. Within a scope an
-interval join of the candidates, widened by `REACH` code points, links complementary
-parts: an identifier or an endpoint with a secret. A weak candidate is reported only if
-it is linked so. The join is a sweep over sorted intervals, in a document, so its cost
-follows the number of candidates and the links, and nothing is shuffled.
+spans. A scope is a block of lines without an empty line in it. Complementary parts are
+an identifier or an endpoint with a secret; parts that overlap are none. A weak candidate
+is reported only if its scope holds a complement, at any distance. An interval join over
+sorted starts and ends links each part of a scope with its nearest complement, so a scope
+of n parts has n links at most, not all pairs. Cost follows n log n of a document's
+candidates, and nothing is shuffled.
 
 Null texts count as empty and give no span. Repeated rows give a row each; ties of start
-are ordered by kind. Columns besides the named ones are not read.
+are ordered by kind, and of two complements at one distance the one before is linked. Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -18,15 +19,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: How far apart, in code points, linked parts may lie.
-REACH = 200
 #: Bits a character from which an unlabelled string counts as random.
 ENTROPY = 3.5
 
@@ -67,26 +66,42 @@ def weak_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(*m.span(), 5) for m in ENDPOINT.finditer(text)]
 
 
-def linked(parts: list[tuple[int, int, int]], breaks: list[int], reach: int = REACH) -> tuple[set, list[tuple]]:
-    """The weak parts that have a complementary part in reach within their scope, and the links.
+class Intervals:
+    """Spans sorted by both ends, for the nearest one beside another and for those that overlap it."""
 
-    For each secret the sweep visits the identifiers and endpoints whose widened intervals
-    meet it; sorted starts and the longest part bound where these can be.
-    """
-    links = []
-    by_scope: dict[int, list] = {}
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.by_start, self.by_end = sorted(spans), sorted(spans, key=lambda s: (s[1], s[0], s[2]))
+        self.starts, self.ends = [s[0] for s in self.by_start], [s[1] for s in self.by_end]
+
+    def nearest(self, p: tuple[int, int, int]) -> tuple[int, int, int] | None:
+        """The nearest span that does not overlap p."""
+        i, j = bisect_right(self.ends, p[0]), bisect_left(self.starts, p[1])
+        before, behind = self.by_end[i - 1] if i else None, self.by_start[j] if j < len(self.starts) else None
+        if before is None or behind is None:
+            return before or behind
+        return before if p[0] - before[1] <= behind[0] - p[1] else behind
+
+    def overlapping(self, p: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+        """Spans that overlap p, where no two of the spans overlap each other."""
+        return self.by_start[bisect_right(self.ends, p[0]) : bisect_left(self.starts, p[1])]
+
+
+def role(span: tuple[int, int, int]) -> str:
+    return ROLE[KINDS[span[2]]]
+
+
+def linked(parts: list[tuple[int, int, int]], breaks: list[int]) -> tuple[set, list[tuple]]:
+    """The weak parts that have a complement in their scope, and links (secret, other part): each part with its nearest."""
+    links = set()
+    by_scope: dict[int, tuple[list, list]] = {}
     for p in parts:
-        by_scope.setdefault(bisect_left(breaks, p[0]), []).append(p)
-    for own in by_scope.values():
-        others = sorted(p for p in own if ROLE[KINDS[p[2]]] != "secret")
-        starts, longest = [p[0] for p in others], max((p[1] - p[0] for p in others), default=0)
-        for p in own if others else ():
-            if ROLE[KINDS[p[2]]] == "secret":
-                for q in others[bisect_left(starts, p[0] - reach - longest) : bisect_left(starts, p[1] + reach + 1)]:
-                    overlap = q[0] < p[1] and p[0] < q[1]
-                    if not overlap and max(p[0] - q[1], q[0] - p[1]) <= reach:
-                        links.append((p, q))
-    return {x for link in links for x in link if x[2] >= 3}, sorted(set(links))
+        by_scope.setdefault(bisect_left(breaks, p[0]), ([], []))[role(p) != "secret"].append(p)
+    for secrets, others in by_scope.values():
+        if secrets and others:
+            a, b = Intervals(secrets), Intervals(others)
+            links |= {(p, q) for p in secrets if (q := b.nearest(p))}
+            links |= {(p, q) for q in others if (p := a.nearest(q))}
+    return {x for link in links for x in link if x[2] >= 3}, sorted(links)
 
 
 def find(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
@@ -97,9 +112,9 @@ def find(text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
         breaks = [m.start() for m in BREAK.finditer(text)] if len(base) > 1 else []
         return base, [], linked(base, breaks)[1] if len(base) > 1 else []
     # A weak span that a base span covers, or meets in the same role, is that part already; other identifiers and endpoints remain partners.
-    role = lambda s: ROLE[KINDS[s[2]]]
-    same = lambda b, w: b[0] < w[1] and w[0] < b[1] and (role(w) in ("secret", role(b)) or b[0] <= w[0] and w[1] <= b[1])
-    weak = [w for w in weak if not any(same(b, w) for b in base)]
+    of_kind = [Intervals([b for b in base if b[2] == k]) for k in range(3)] if base else []
+    same = lambda b, w: role(w) in ("secret", role(b)) or b[0] <= w[0] and w[1] <= b[1]
+    weak = [w for w in weak if not any(same(b, w) for x in of_kind for b in x.overlapping(w))]
     kept, links = linked(base + weak, [m.start() for m in BREAK.finditer(text)])
     return base, sorted(kept), links
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from sieveline.llm import secrets as m
@@ -33,17 +34,37 @@ def test_weak_parts_need_a_partner():
     base, weak, links = m.find("user = bob42\npassword = hunter2hunter2\nhost https://db.example.com/x")
     assert [m.KINDS[k] for _, _, k in base] == ["assign"] and {m.KINDS[k] for _, _, k in weak} == {"ident", "endpoint"} and len(links) == 2
     assert m.find("user = bob42\n\npassword = hunter2hunter2")[1] == []  # another scope
-    assert m.find("user = bob42 " + "x " * 200 + "password = hunter2hunter2")[1] == []  # out of reach
+    assert len(m.find("user = bob42 " + "x " * 5000 + "password = hunter2hunter2")[1]) == 1  # at any distance in a scope
     both = m.find("user = bob42 Abc123xyzQWE987poiuy")
     assert {m.KINDS[k] for _, _, k in both[1]} == {"ident", "random"}
 
 
-def test_every_link_in_reach_is_found():
-    text = " ".join(f"user=u{i:03d} password=pw{i:06d}" for i in range(12))
-    parts = m.base_spans(text) + m.weak_spans(text)
-    secrets, others = ([p for p in parts if (m.ROLE[m.KINDS[p[2]]] == "secret") == s] for s in (True, False))
-    want = {(a, b) for a in secrets for b in others if max(a[0] - b[1], b[0] - a[1]) <= m.REACH}
-    assert set(m.linked(parts, [])[1]) == want and want
+def nearest(p, others):
+    """Brute force: of all that do not overlap, the nearest; the one before at equal distance."""
+    apart = [q for q in others if q[1] <= p[0] or q[0] >= p[1]]
+    return min(apart, key=lambda q: (max(p[0] - q[1], q[0] - p[1]), q[0] >= p[1], (-q[1], -q[0], -q[2]) if q[1] <= p[0] else q), default=None)
+
+
+def test_links_and_reports_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        parts = sorted({(a, a + r.randint(1, 12), r.randrange(6)) for a in (r.randrange(120) for _ in range(r.randrange(14)))})
+        breaks = sorted(r.sample(range(120), r.randrange(4)))
+        scope = lambda p: sum(b < p[0] for b in breaks)  # noqa: B023, E731
+        want, partnered = set(), set()
+        for p in parts:
+            others = [q for q in parts if scope(q) == scope(p) and (m.role(p) == "secret") != (m.role(q) == "secret")]
+            if q := nearest(p, others):
+                partnered.add(p)
+                want.add((p, q) if m.role(p) == "secret" else (q, p))
+        kept, links = m.linked(parts, breaks)
+        assert links == sorted(want) and kept == {p for p in partnered if p[2] >= 3}
+
+
+def test_many_parts_in_one_scope_take_linear_links():
+    text = " ".join(f"user=u{i:06d} password=pw{i:06d}" for i in range(20_000))
+    base, weak, links = m.find(text)
+    assert len(base) == len(weak) == 20_000 and len(links) < 40_000
 
 
 def test_an_endpoint_with_a_token_is_a_partner_of_others():
