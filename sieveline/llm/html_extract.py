@@ -28,6 +28,9 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,10 +50,10 @@ CLOSES_P = BLOCK - frozenset("button label html body".split())
 #: An element that ends an open one of these, up to a boundary.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+OPEN = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+#: What stands in a tag behind its name; a ">" in quotes does not end it.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW.split()}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop|data-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -70,13 +73,86 @@ class Node:
     count: int = 0  # leaves below
 
 
-def _ends(tokens: list[re.Match]) -> dict[int, int]:
+@dataclass
+class Token:
+    whole: str
+    tag: str = ""  # lower case; empty for text, comments and raw-text elements
+    closing: bool = False
+    attributes: str = ""
+
+
+def tag_ends(page: str) -> Callable[[int], int]:
+    """Where the tag ends whose name ends at a place, or -1.
+
+    The usual case is one match. The first tag without an end gives a table over all
+    quotes and ends of tags, filled from behind, that answers for all later ones, so
+    unclosed quotes don't make a scan to the end of the page for each tag.
+    """
+    places: list[int] = []
+    ends: list[int] = []
+
+    def fill() -> None:
+        places.extend(m.start() for m in re.finditer("[>\"']", page))
+        ends.extend([-1] * (len(places) + 1))
+        following: dict[str, int] = {}
+        for k in range(len(places) - 1, -1, -1):
+            c = page[places[k]]
+            if c == ">":
+                ends[k] = places[k] + 1
+                continue
+            if c in following:
+                ends[k] = ends[following[c] + 1]
+            following[c] = k
+
+    def end(at: int) -> int:
+        if not ends:
+            if m := REST.match(page, at):
+                return m.end()
+            fill()
+        return ends[bisect_left(places, at)]
+
+    return end
+
+
+def tokens_of(page: str) -> list[Token]:
+    """Tags, comments, raw-text elements and text, in time that follows the page's length."""
+    out, at, n, end_of = [], 0, len(page), tag_ends(page)
+    last = page.rfind(">")
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            out.append(Token(page[at : start if start >= 0 else n]))
+            if start < 0:
+                break
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else n
+            out.append(Token(page[start:at]))
+            continue
+        m = OPEN.match(page, start)
+        if m and (stop := end_of(m.end())) >= 0:
+            tag, at = m[2].lower(), stop
+            if tag in RAW_END and not m[1] and page[m.end()] in " \t\n\r\f/>":
+                ended = RAW_END[tag].search(page, stop)
+                at = ended.end() if ended else n
+                out.append(Token(page[start:at]))
+            else:
+                out.append(Token(page[start:stop], tag, bool(m[1]), page[m.end() : stop - 1]))
+            continue
+        at = start + 1
+        if page[at : at + 1] in ("!", "?", "/") and at < last:
+            at = page.find(">", at + 1) + 1 or at
+        out.append(Token(page[start:at]))
+    return out
+
+
+def _ends(tokens: list[Token]) -> dict[int, int]:
     """For the places of tags in SKIPPED that are ended: the place of the end tag."""
     ends, opened = {}, {}
     for i, m in enumerate(tokens):
-        if m[3] and (tag := m[3].lower()) in SKIPPED:
-            if not m[2]:
-                if tag in ("svg", "math") and m[4].endswith("/"):
+        if (tag := m.tag) in SKIPPED:
+            if not m.closing:
+                if tag in ("svg", "math") and m.attributes.endswith("/"):
                     ends[i] = i
                 else:
                     opened.setdefault(tag, []).append(i)
@@ -90,20 +166,23 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("#root", -1)]
     stack, leaf, links = [0], -1, 0
 
+    opened: Counter = Counter()  # tags on the stack, so that it is searched only for what is there
+
     def close(upto: int) -> None:
         nonlocal leaf
+        opened.subtract(nodes[i].tag for i in stack[upto:])
         del stack[upto:]
         leaf = -1
 
     skipped = -1
-    tokens = [*TOKEN.finditer(page)]
+    tokens = tokens_of(page)
     ends = _ends(tokens)
     for place, m in enumerate(tokens):
         if place <= skipped:
             continue
-        tag = m[3]
-        if tag is None:
-            s = m[0]
+        tag = m.tag
+        if not tag:
+            s = m.whole
             if s[0] != "<" or s == "<":
                 if leaf < 0:
                     if s.isspace():
@@ -115,16 +194,15 @@ def parse(page: str) -> list[Node]:
                 if links:
                     n.linked += len(s)
             continue
-        tag = tag.lower()
         skipped = ends.get(place, skipped)
         if tag not in BLOCK:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m.closing else 1
             elif tag in ("br", "img", "input") and leaf >= 0:
                 nodes[leaf].parts.append(" ")
             continue
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+        if m.closing:
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if nodes[stack[i]].tag == tag:
                     close(i)
                     break
@@ -132,7 +210,7 @@ def parse(page: str) -> list[Node]:
             links = 0
             continue
         links = 0
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == "p":
                     close(i)
@@ -141,7 +219,7 @@ def parse(page: str) -> list[Node]:
                     break
         if tag in ENDS:
             ended, bound = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ended) else ():
                 if nodes[stack[i]].tag in bound:
                     break
                 if nodes[stack[i]].tag in ended:
@@ -150,10 +228,11 @@ def parse(page: str) -> list[Node]:
         leaf = -1
         if tag in ("html", "body") and any(n.tag == tag for n in nodes[:8]):
             continue
-        attributes = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in ATTRIBUTE.finditer(m[4])} if m[4] else {}
+        attributes = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in ATTRIBUTE.finditer(m.attributes)} if m.attributes else {}
         nodes.append(Node(tag, stack[-1], attributes))
         if tag not in VOID:
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     for n in nodes:
         if n.parts:
             raw = "".join(n.parts)

@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 
 import pytest
 
@@ -41,6 +43,30 @@ def test_what_is_empty_and_what_is_raw_text():
     assert words("<p>a</p><svg><title>x</title></svg><select><option>x<option>y</select><p>b</p><script>x <p>y</p>") == ["a", "b"]
 
 
+def test_quotes_tags_and_comments_without_end():
+    assert words("<p a='x>y'>b</p><!-- <p>c</p>") == ["b"]
+    assert words('a <b "c> d <p>e</p>') == ['a <b "c> d', "e"]
+    assert words("<title-card>a</title-card><titles>b</titles>") == ["ab"]
+    assert words("<title>x</title a>y</title><p>c</p>") == ["c"]
+
+
+def test_tag_ends_equal_a_match_at_each_place():
+    r = random.Random(4)
+    for _ in range(2000):
+        page = "".join(r.choice("""<>"'a =""") for _ in range(r.randrange(20)))
+        end = m.tag_ends(page)
+        for at in r.sample(range(len(page) + 1), len(page) + 1):
+            want = m.REST.match(page, at)
+            assert end(at) == (want.end() if want else -1), (page, at)
+
+
+@pytest.mark.parametrize("piece", ('<a "', "<!", "</", "<!--", "<script>", "<p a='", "<header>", "</div>"))
+def test_damaged_pages_take_time_in_proportion(piece):
+    began = time.process_time()
+    m.parse(piece * 200_000)
+    assert time.process_time() - began < 20
+
+
 def test_sum_product_equals_enumeration(model):
     nodes = m.parse("<div class='sidebar'><p>One two.</p><a href=x>links</a></div><article><h1>T</h1></article>")
     unary = m.potentials(nodes, model)
