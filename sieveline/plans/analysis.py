@@ -69,17 +69,6 @@ def l4_second_round(t: Tables) -> DataFrame:
     return c.withColumn("round", F.lit(1)).unionByName(near.select(F.col("query_id").alias("vec_id"), "label", F.lit(2).alias("round")))
 
 
-TOKENS = "k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)) AS term FROM documents WHERE lang = 'es'), tf AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM k GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM k)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)"
-
-
-@query(f"WITH {TOKENS}, x AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.w * b.w), 5) AS score FROM u a JOIN u b USING (term) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL) SELECT query_id, doc_id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5")
-def l2_tfidf_cosine(t: Tables) -> DataFrame:
-    """A slice that SQL can follow: the Spanish texts among themselves, single words. `l2_tfidf_catalogue` is the whole."""
-    from ..functions import text as T
-
-    tokens = t.documents.where("lang = 'es'").select("doc_id", F.explode(T.query_tokens(F.col("text"))).alias("term"))
-    return L.nearest_texts(L.tf_idf(tokens), 5)
-
 
 @query()
 def l2_tfidf_catalogue(t: Tables) -> DataFrame:

@@ -68,12 +68,6 @@ def a8_coherence(t: Tables) -> DataFrame:
     return s.select("label", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), F.round(V.coherence(F.col("total"), F.col("n")), 6).alias("coherence"))
 
 
-@query(f"WITH {PAIRS}, {run_sql('r', 's', 16)} SELECT DISTINCT least(query_id, doc_id) AS a, greatest(query_id, doc_id) AS b, score FROM r WHERE score >= 0.3")
-def j10_near_pairs(t: Tables) -> DataFrame:
-    """A slice that SQL can follow: pairs with a query, among its 16 best. `j10_near_classes` is the whole."""
-    return run(t, 16, least=0.3).select(F.least("query_id", "doc_id").alias("a"), F.greatest("query_id", "doc_id").alias("b"), "score").distinct()
-
-
 @query()
 def j10_near_classes(t: Tables) -> DataFrame:
     """All pairs of vectors with a cosine of at least 0.97, as the class of each vector and its number of links."""
@@ -165,8 +159,8 @@ def dq3_self_retrieval(t: Tables) -> DataFrame:
     return run(t, 1, same=True).agg(F.count("*").alias("n"), F.count_if(F.col("query_id") == F.col("doc_id")).alias("own"))
 
 
-@query(f"WITH {E}, m AS (SELECT generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM e WHERE vec_id % 20 = 0), c AS (SELECT list(a ORDER BY dim) AS v FROM (SELECT dim, avg(x) AS a FROM m GROUP BY dim)) SELECT vec_id, round(list_dot_product(e.v, c.v), 5) AS projection FROM e, c ORDER BY projection, vec_id LIMIT 100")
+@query(f"WITH {E}, m AS (SELECT generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM e WHERE vec_id % 20 = 0), c AS (SELECT list(a ORDER BY dim) AS v FROM (SELECT dim, avg(x) AS a FROM m GROUP BY dim)) SELECT vec_id, round(list_dot_product(e.v, c.v), 5) AS projection FROM e, c")
 def o2_locality_sort(t: Tables) -> DataFrame:
     mean = V.sums(asked(t).withColumn("g", F.lit(0)), ["g"]).select(F.transform("total", lambda x: x / F.col("n")).alias("c"))
     x = t.embeddings.crossJoin(F.broadcast(mean))
-    return x.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("c")), 5).alias("projection")).orderBy("projection", "vec_id").limit(100)
+    return x.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("c")), 5).alias("projection")).orderBy("projection", "vec_id")

@@ -193,24 +193,6 @@ def canonical(c: DataFrame) -> DataFrame:
     return c.groupBy("root").agg(F.count("*").alias("n"), F.min_by("k", F.struct(F.col("node") % 2, F.length("k"), "node")).alias("canonical"))
 
 
-EDGES = "ed AS (SELECT DISTINCT p_partkey % 400 AS a, (p_partkey * 7 + 3) % 400 AS b FROM part WHERE p_size < 12 AND p_partkey % 400 <> (p_partkey * 7 + 3) % 400)"
-
-
-@query(f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node, min(least(node, seen)) AS root FROM r GROUP BY node")
-def a26_components(t: Tables) -> DataFrame:
-    """Connected components with the smallest member as the root, over folded numbers of small parts. `a26_part_components` is the whole."""
-    from ..operators.components import components
-
-    a, b = F.col("p_partkey") % 400, (F.col("p_partkey") * 7 + 3) % 400
-    return components(t.part.where("p_size < 12").select(a.alias("a"), b.alias("b")).where("a <> b").distinct())
-
-
-@query(f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen), c AS (SELECT node, min(least(node, seen)) AS root FROM r GROUP BY node), k AS (SELECT root, node, 'key ' || CAST(node AS VARCHAR) AS k FROM c) SELECT root, count(*) AS n, arg_min(k, (CASE WHEN node % 2 = 0 THEN 0 ELSE 1 END) * 1000000 + length(k) * 10000 + node) AS canonical FROM k GROUP BY root")
-def a27_canonical_pick(t: Tables) -> DataFrame:
-    """Of each component of `a26_components` the preferred key. `a27_part_canonical` is the whole."""
-    return canonical(a26_components(t))
-
-
 PART_ROOTS = "WITH RECURSIVE ed AS (SELECT DISTINCT p_partkey AS a, p_partkey * 7 + 3 AS b FROM part), s AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r(node, seen) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen), c AS (SELECT node, min(least(node, seen)) AS root FROM r GROUP BY node)"
 
 

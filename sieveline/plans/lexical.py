@@ -60,12 +60,6 @@ def asked(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), T.content_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct, array_to_string(tokens[1:12], ' ') AS first_tokens FROM (SELECT doc_id, {tok('text')} AS tokens FROM documents)")
-def p1_tokens(t: Tables) -> DataFrame:
-    x = t.documents.select("doc_id", T.query_tokens(F.col("text")).alias("tokens"))
-    return x.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"), F.array_join(F.slice("tokens", 1, 12), " ").alias("first_tokens"))
-
-
 @query(f"SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct, md5(array_to_string(tokens, ' ')) AS hash FROM (SELECT doc_id, {tok('text')} AS tokens FROM documents)")
 def p1_tokens_whole(t: Tables) -> DataFrame:
     x = t.documents.select("doc_id", T.query_tokens(F.col("text")).alias("tokens"))

@@ -42,34 +42,27 @@ def b3_click_bags(t: Tables) -> DataFrame:
     return c.groupBy("item").agg(F.count("*").alias("n")).where("n >= 2").select("item", "n", split.alias("train"))
 
 
-CORATED = "r AS (SELECT DISTINCT o_custkey AS u, l_partkey % 200 AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 35), c AS (SELECT x.m AS m1, y.m AS m2, count(*) AS n FROM r x JOIN r y ON x.u = y.u AND x.m <> y.m GROUP BY ALL)"
-
-
-#: The item of a slice that the SQL follows, and of the whole.
-FOLDED, ITEM = "l_partkey % 200", "l_partkey"
-
-
-def ratings(t: Tables, item: str) -> DataFrame:
+def ratings(t: Tables) -> DataFrame:
     """(u, m): the distinct items that a user rates highly."""
     r = t.lineitem.where("l_quantity >= 35").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return r.select(F.col("o_custkey").alias("u"), F.expr(item).alias("m")).distinct()
+    return r.select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("m")).distinct()
 
 
-def corated(t: Tables, item: str) -> DataFrame:
+def corated(t: Tables) -> DataFrame:
     """(m1, m2, n): users that both items have in common.
 
     Ratings are distinct before they meet, and users of many items are split: each of a
     user's items meets the others by user and a salt of the first item.
     """
-    r = ratings(t, item)
+    r = ratings(t)
     left = r.select("u", F.col("m").alias("m1"), F.pmod(F.xxhash64("m"), F.lit(8)).alias("salt"))
     right = r.select("u", F.col("m").alias("m2"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
     return left.join(right, ["u", "salt"]).where("m1 <> m2").groupBy("m1", "m2").agg(F.count("*").alias("n"))
 
 
-def cooccurring(t: Tables, item: str) -> DataFrame:
+def cooccurring(t: Tables) -> DataFrame:
     """The 50 items most often rated with each, then those with at least 5 users."""
-    top = corated(t, item).withColumn("place", F.row_number().over(Window.partitionBy("m1").orderBy(F.desc("n"), "m2"))).where("place <= 50")
+    top = corated(t).withColumn("place", F.row_number().over(Window.partitionBy("m1").orderBy(F.desc("n"), "m2"))).where("place <= 50")
     return top.where("n >= 5").select("m1", "m2", "n")
 
 
@@ -78,36 +71,18 @@ def corated_bags(pairs: DataFrame) -> DataFrame:
     return x.select("m1", "size", F.array_join(F.transform("l", lambda s: s["m2"].cast("string")), ",").alias("members"))
 
 
-def pair_count(t: Tables, item: str) -> DataFrame:
+def pair_count(t: Tables) -> DataFrame:
     """The ordered pairs of a user's items, counted from group sizes without making them."""
-    n = ratings(t, item).groupBy("u").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("n_pairs"))
+    n = ratings(t).groupBy("u").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("n_pairs"))
     return n.select("n_pairs", F.col("n_pairs").alias("total"))
 
 
-@query(f"WITH {CORATED}, k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY m1 ORDER BY n DESC, m2) <= 50) SELECT m1, m2, n FROM k WHERE n >= 5")
-def a10_cooccurrence(t: Tables) -> DataFrame:
-    """A slice that its SQL follows: items are folded to 200. `a10_item_cooccurrence` is the whole."""
-    return cooccurring(t, FOLDED)
-
-
-@query(f"WITH {CORATED}, k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY m1 ORDER BY n DESC, m2) <= 50) SELECT m1, count(*) AS size, string_agg(CAST(m2 AS VARCHAR), ',' ORDER BY n DESC, m2) AS members FROM k WHERE n >= 5 GROUP BY m1 HAVING count(*) >= 2")
-def b4_corated_bags(t: Tables) -> DataFrame:
-    """Bags of the folded items. `b4_item_bags` is the whole."""
-    return corated_bags(a10_cooccurrence(t))
-
-
-@query("SELECT count(*) AS n_pairs, sum(n) AS total FROM (SELECT x.o_custkey, x.p AS a, y.p AS b, 1 AS n FROM (SELECT DISTINCT o_custkey, l_partkey % 200 AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 35) x JOIN (SELECT DISTINCT o_custkey, l_partkey % 200 AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 35) y ON x.o_custkey = y.o_custkey AND x.p <> y.p)")
-def j8_pair_count(t: Tables) -> DataFrame:
-    """Pairs of the folded items. `j8_item_pairs` is the whole."""
-    return pair_count(t, FOLDED)
-
-
 ITEMS = "r AS (SELECT DISTINCT o_custkey AS u, l_partkey AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 35), c AS (SELECT x.m AS m1, y.m AS m2, count(*) AS n FROM r x JOIN r y ON x.u = y.u AND x.m <> y.m GROUP BY ALL), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY m1 ORDER BY n DESC, m2) <= 50)"
 
 
 @query(f"WITH {ITEMS} SELECT m1, m2, n FROM k WHERE n >= 5")
 def a10_item_cooccurrence(t: Tables) -> DataFrame:
-    return cooccurring(t, ITEM)
+    return cooccurring(t)
 
 
 @query(f"WITH {ITEMS} SELECT m1, count(*) AS size, string_agg(CAST(m2 AS VARCHAR), ',' ORDER BY n DESC, m2) AS members FROM k WHERE n >= 5 GROUP BY m1 HAVING count(*) >= 2")
@@ -117,7 +92,7 @@ def b4_item_bags(t: Tables) -> DataFrame:
 
 @query(f"WITH {ITEMS} SELECT CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(n) AS BIGINT) AS total FROM c")
 def j8_item_pairs(t: Tables) -> DataFrame:
-    return pair_count(t, ITEM)
+    return pair_count(t)
 
 
 @query(f"WITH {PAIRS}, {run_sql('a', 's', 50)}, bm AS (SELECT query_id, doc_id FROM a WHERE score >= 0.25), {CENTRES} SELECT query_id, n, round(spec, 6) AS specificity FROM bags")

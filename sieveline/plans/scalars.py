@@ -18,12 +18,6 @@ def p5_slugify(t: Tables) -> DataFrame:
     return t.part.select(title.alias("title"), T.slugify(title).alias("slug")).distinct()
 
 
-@query("SELECT page_id, length(x) AS n, substr(x, 1, 80) AS head FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS x FROM pages)")
-def p6_strip_tags(t: Tables) -> DataFrame:
-    x = t.pages.select("page_id", T.strip_tags(F.col("html")).alias("x"))
-    return x.select("page_id", F.length("x").cast("long").alias("n"), F.substring("x", 1, 80).alias("head"))
-
-
 @query("SELECT page_id, length(x) AS n, md5(x) AS hash FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS x FROM pages)")
 def p6_strip_tags_whole(t: Tables) -> DataFrame:
     x = t.pages.select("page_id", T.strip_tags(F.col("html")).alias("x"))
