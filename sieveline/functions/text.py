@@ -189,3 +189,15 @@ def expected_grade(pairs: Column) -> Column:
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     up = F.aggregate(F.zip_with(pairs, p, lambda x, y: x["grade"] * y), F.lit(0.0), lambda a, x: a + x)
     return F.when(total > 0, up / total)
+
+
+def lead(article: Column) -> Column:
+    """What stands before the first heading (== Title ==), trimmed; all, if there is none."""
+    return F.btrim(F.regexp_extract(article, r"(?s)\A(.*?)(?:^={2,6}[^=\n][^\n]*={2,6}[ \t]*$|\z)".replace("(?s)", "(?sm)"), 1), F.lit(" \t\n\r"))
+
+
+def section(article: Column, titles: tuple[str, ...]) -> Column:
+    """The text below the first heading of one of these titles, up to the next heading that is not deeper; empty if there is none."""
+    names = "|".join(titles)
+    body = rf"(?smi)^(={{2,6}})[ \t]*(?:{names})[ \t]*\1[ \t]*$(.*?)(?:^(?!\1=)={{2,6}}[^=\n][^\n]*=[ \t]*$|\z)"
+    return F.btrim(F.regexp_extract(article, body, 2), F.lit(" \t\n\r"))

@@ -38,11 +38,12 @@ def _passes(rows: DataFrame) -> int:
     return max(1, -(-(width["n"] or 0) * 8 * (width["rows"] or 0) // QUERY_BYTES))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int] | None = None, same: bool = False, least: float | None = None, digits: int = 6) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int] | None = None, same: bool = False, least: float | None = None, digits: int = 6, probing: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best by cosine, rounded; ties go by doc_id.
 
     queries: query_id, v; vectors: doc_id, v. dims: compare these dimensions only.
     same: whether a vector may answer the query of its own id. least: a lower bound of the score.
+    probing: centres and a number of lists; vectors have a column `list` then, and only those in a query's nearest lists are compared.
     """
     spark = vectors.sparkSession
     passes = _passes(queries)
@@ -57,13 +58,23 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             q = _unit(q[:, a:b]) if len(q) else q
+            probed = None
+            if probing and len(q):
+                probed = np.zeros((len(q), len(probing[0])), bool)
+                np.put_along_axis(probed, np.argsort(-(q @ probing[0].T), axis=1, kind="stable")[:, : probing[1]], True, axis=1)
             best: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
             for batch in batches:
                 for at in range(0, batch.num_rows if len(ids) else 0, ROWS):
                     part = batch.slice(at, ROWS)
-                    docs = part["doc_id"].to_numpy()
-                    scores = np.round(q @ _unit(_matrix(part["v"])[:, a:b]).T, digits)
-                    for j, row in enumerate(scores):
+                    every, unit = part["doc_id"].to_numpy(), _unit(_matrix(part["v"])[:, a:b])
+                    scores = np.round(q @ unit.T, digits) if probed is None else None
+                    place = None if probed is None else part["list"].to_numpy()
+                    for j in range(len(ids)):
+                        if probed is None:
+                            docs, row = every, scores[j]
+                        else:
+                            mine = probed[j][place]
+                            docs, row = every[mine], np.round(unit[mine] @ q[j], digits)
                         keep = (docs != ids[j]) if not same else np.ones(len(docs), bool)
                         if least is not None:
                             keep &= row >= least
@@ -75,13 +86,47 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
             out = [(i, d, s) for i, (ss, dd) in zip(ids, best, strict=True) for s, d in zip(ss, dd, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-        return vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, schema)
+        return vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v"), *(["list"] if probing else [])).mapInArrow(run, schema)
 
     found = reduce(DataFrame.unionByName, map(one, range(passes)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def centres(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means over a sample of at most `sample` vectors, those of the smallest hashes of their ids."""
+    x = vectors.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("v").cast("array<double>").alias("v")).orderBy("h", "doc_id").limit(sample).toArrow()
+    x = _unit(_matrix(x["v"].combine_chunks()))
+    c = x[:lists]
+    for _ in range(rounds if len(c) else 0):
+        near = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 0, _unit(total), c)
+    return c
+
+
+def assign(vectors: DataFrame, c: np.ndarray) -> DataFrame:
+    """Every vector (doc_id, v) with the number of its nearest centre as `list`; the centres are `lists` rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_unit(_matrix(batch["v"])) @ c.T).argmax(axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["v"], pa.array(near.astype(np.int32))], names=["doc_id", "v", "list"])
+
+    return vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "doc_id long, v array<double>, list int")
+
+
+def approximate(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 32, probes: int = 24, sample: int = 20_000) -> DataFrame:
+    """As `search`, by inverted lists: a query is compared only with vectors of the `probes` lists whose centres are nearest.
+
+    Centres come from a sample; every vector is in a list. A query is sent to all tasks
+    within passes as in `search`, so a list that holds most vectors stays spread over tasks.
+    """
+    c = centres(vectors, lists, sample)
+    return search(queries, assign(vectors, c), k, probing=(c, probes))
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) as links of each id with the smallest one of its component."""
     ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)

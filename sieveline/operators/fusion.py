@@ -70,3 +70,14 @@ def weighted(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
 def gate(run: DataFrame, keep: Column) -> DataFrame:
     """The documents to keep first, in their order, then the others in theirs."""
     return run.withColumn("rank", F.row_number().over(by_query().orderBy(F.when(keep, 0).otherwise(1), "rank")))
+
+
+def keyword_first(keyword: DataFrame, dense: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, doc_id, tier, rank): keyword candidates (tier 0), then dense ones (1), one per title, the first.
+
+    keyword, dense: query_id, doc_id, rank; titles: doc_id, title.
+    """
+    both = reduce(DataFrame.unionByName, (r.select("query_id", "doc_id", "rank", F.lit(i).alias("tier")) for i, r in enumerate((keyword, dense))))
+    first = Window.partitionBy("query_id", "title").orderBy("tier", "rank")
+    x = both.join(titles, "doc_id").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return x.select("query_id", "doc_id", "tier", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank")).alias("rank"))

@@ -103,6 +103,21 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 0.3, b: float = 0.6) -
     return scored.groupBy("query_id", "doc_id").agg(F.sum(weighted_tf(F.lit(k1), F.lit(b))).alias("score"))
 
 
+def expanded(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """docs (doc_id, tokens) with the tokens of all texts given for them (doc_id, tokens) behind their own."""
+    more = given.groupBy("doc_id").agg(F.flatten(F.collect_list("tokens")).alias("more"))
+    return docs.join(more, "doc_id", "left").select("doc_id", F.concat("tokens", F.coalesce("more", F.array().cast("array<string>"))).alias("tokens"))
+
+
+def bm25_best(queries: DataFrame, docs: DataFrame, given: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): the best of a document's score and of those of the texts given for it, which are a collection of their own."""
+    place = Window.partitionBy("doc_id").orderBy("tokens")
+    each = given.withColumn("doc_id", F.struct("doc_id", F.row_number().over(place).alias("n")))
+    own = bm25(queries, docs)
+    other = bm25(queries, each).select("query_id", F.col("doc_id.doc_id").alias("doc_id"), "score")
+    return own.unionByName(other).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "score", digits: int = 6) -> DataFrame:
     """The best k per query with `rank` from 1; scores are rounded first and ties go by doc_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(by), "doc_id")

@@ -40,3 +40,17 @@ def bootstrap(values: DataFrame, value: str, draws: int, seed: int) -> DataFrame
 def interval(resamples: DataFrame) -> DataFrame:
     """Middle 95 per cent and the share of means that are not positive."""
     return resamples.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg(F.when(F.col("mean") <= 0, 1.0).otherwise(0.0)).alias("p"))
+
+
+def leave_one_out(points: DataFrame) -> DataFrame:
+    """One row: the line through (x, y), and the error if each point is predicted by the line through all others.
+
+    A residual without a point is its residual over 1 - leverage, so two aggregations are
+    enough and no line is fitted again. The sums are a row, so the broadcast is too.
+    """
+    fit = points.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), (F.var_pop("x") * F.count("*")).alias("sxx"), (F.var_pop("y") * F.count("*")).alias("syy"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
+    x = points.crossJoin(F.broadcast(fit))
+    leverage = 1 / F.col("n") + F.pow(F.col("x") - F.col("mx"), F.lit(2)) / F.col("sxx")
+    x = x.withColumn("e", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")) / (1 - leverage))
+    sums = x.groupBy("slope", "intercept", "r2", "n", "syy").agg(F.sum(F.col("e") * F.col("e")).alias("see"))
+    return sums.select("slope", "intercept", "r2", F.sqrt(F.col("see") / F.col("n")).alias("loo_rmse"), (1 - F.col("see") / F.col("syy")).alias("loo_r2"))

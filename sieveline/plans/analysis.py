@@ -197,17 +197,45 @@ def s8_terciles(t: Tables) -> DataFrame:
     return x.groupBy(s.alias("stratum")).agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@query(f"{ROUTED}, g AS (SELECT unnest([x / 20.0 for x in range(0, 21)]) AS tau), r AS (SELECT tau, round(avg(CASE WHEN top >= tau THEN ra ELSE rb END), 6) AS recall FROM o, g GROUP BY tau) SELECT CAST(tau AS DOUBLE) AS tau, recall, recall = max(recall) OVER () AS best FROM r")
+GRID = "g AS (SELECT unnest([x / 20.0 for x in range(0, 21)]) AS tau)"
+
+
+def swept(o: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tau, recall, base): the mean recall if queries whose top score is at least tau take the first run, else the second; base is the second's."""
+    x = o.select("*", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")).withColumn("tau", F.col("i") / 20)
+    return x.groupBy(*keys, "tau").agg(F.avg(F.when(F.col("top") >= F.col("tau"), F.col("ra")).otherwise(F.col("rb"))).alias("recall"), F.avg("rb").alias("base"))
+
+
+def chosen(sweep: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tau): the least threshold of the best recall (to 9 digits), or null if none is better than the base."""
+    better = sweep.where(F.round(F.col("recall") - F.col("base"), 9) > 0)
+    best = better.groupBy(*keys).agg(F.min_by("tau", F.struct(-F.round("recall", 9), F.col("tau"))).alias("tau"))
+    return sweep.select(*keys).distinct().join(best, keys, "left") if keys else best
+
+
+@query(f"{ROUTED}, {GRID}, r AS (SELECT tau, avg(CASE WHEN top >= tau THEN ra ELSE rb END) AS recall, avg(rb) AS base FROM o, g GROUP BY tau), k AS (SELECT tau FROM r WHERE round(recall - base, 9) > 0 ORDER BY round(recall, 9) DESC, tau LIMIT 1) SELECT CAST(tau AS DOUBLE) AS tau, round(recall, 6) AS recall, coalesce(tau = (SELECT tau FROM k), false) AS best FROM r")
 def s9_threshold_sweep(t: Tables) -> DataFrame:
-    x = routed(t).select("*", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")).withColumn("tau", F.col("i") / 20)
-    r = x.groupBy("tau").agg(F.round(F.avg(F.when(F.col("top") >= F.col("tau"), F.col("ra")).otherwise(F.col("rb"))), 6).alias("recall"))
-    top = r.agg(F.max("recall").alias("m"))
-    return r.crossJoin(F.broadcast(top)).select("tau", "recall", (F.col("recall") == F.col("m")).alias("best"))
+    """All thresholds, and the best within the sample if it beats never routing."""
+    sweep = swept(routed(t), [])
+    best = chosen(sweep, []).withColumnRenamed("tau", "best")
+    return sweep.crossJoin(F.broadcast(best)).select("tau", F.round("recall", 6).alias("recall"), F.coalesce(F.col("tau") == F.col("best"), F.lit(False)).alias("best"))
+
+
+@query(f"{ROUTED}, {GRID}, f AS (SELECT unnest(range(0, 5)) AS fold), r AS (SELECT fold, tau, avg(CASE WHEN top >= tau THEN ra ELSE rb END) AS recall, avg(rb) AS base FROM o, g, f WHERE query_id // 20 % 5 <> fold GROUP BY ALL), k AS (SELECT fold, tau FROM r WHERE round(recall - base, 9) > 0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(recall, 9) DESC, tau) = 1) SELECT f.fold, CAST(tau AS DOUBLE) AS tau, count(*) AS n, round(avg(CASE WHEN tau IS NOT NULL AND top >= tau THEN ra ELSE rb END), 6) AS recall, round(avg(rb), 6) AS base FROM o JOIN f ON query_id // 20 % 5 = fold LEFT JOIN k USING (fold) GROUP BY ALL")
+def s9_threshold_by_folds(t: Tables) -> DataFrame:
+    """A threshold per fold, chosen on the other folds by strict improvement, and what it gives on the fold."""
+    o = routed(t).withColumn("own", F.floor(F.col("query_id") / 20) % 5)
+    others = o.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("fold")).where("own <> fold")
+    x = o.withColumnRenamed("own", "fold").join(F.broadcast(chosen(swept(others, ["fold"]), ["fold"])), "fold", "left")
+    used = F.when(F.col("tau").isNotNull() & (F.col("top") >= F.col("tau")), F.col("ra")).otherwise(F.col("rb"))
+    return x.groupBy("fold", "tau").agg(F.count("*").alias("n"), F.round(F.avg(used), 6).alias("recall"), F.round(F.avg("rb"), 6).alias("base"))
 
 
-@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2 FROM lineitem GROUP BY l_returnflag")
+@query(f"{ROUTED}, p AS (SELECT query_id, top AS x, rb - ra AS y FROM o), l AS (SELECT a.query_id, any_value(a.y) AS y, any_value(a.x) * regr_slope(b.y, b.x) + regr_intercept(b.y, b.x) AS y_hat FROM p a JOIN p b ON a.query_id <> b.query_id GROUP BY a.query_id), w AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, var_pop(y) * count(*) AS ss FROM p) SELECT any_value(round(slope, 4)) AS slope, any_value(round(intercept, 4)) AS intercept, any_value(round(r2, 4)) AS r2, round(sqrt(avg((y - y_hat) ** 2)), 4) AS loo_rmse, round(1 - sum((y - y_hat) ** 2) / any_value(ss), 4) AS loo_r2 FROM l, w")
 def s10_regression(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 5).alias("r2"))
+    """What the second run gains, on the first run's best score; each query also predicted from all others."""
+    p = routed(t).select(F.col("top").alias("x"), (F.col("rb") - F.col("ra")).alias("y"))
+    return S.leave_one_out(p).select(*(F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2", "loo_rmse", "loo_r2")))
 
 
 @query(f"{RUNS}, {RECALL}, w AS (SELECT count(*) FILTER (WHERE rb > ra) AS w, count(*) FILTER (WHERE rb <> ra) AS n FROM h) SELECT w AS wins, n, round((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) FROM (SELECT unnest(range(greatest(w, n - w), n + 1)) AS k)), 6) AS p_one_sided FROM w")

@@ -74,6 +74,17 @@ def j10_near_classes(t: Tables) -> DataFrame:
     return D.near(vectors(t), 0.97).withColumnRenamed("doc_id", "vec_id")
 
 
+@query()
+def b18_query_aliases(t: Tables) -> DataFrame:
+    """Each vector's canonical one: of equal vectors the first, then of near ones (cosine of at least 0.97, in chains) the one of the least label, then id."""
+    x = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").cast("array<double>").alias("v")).withColumn("key", F.md5(F.array_join(F.transform("v", lambda y: y.cast("string")), ",").cast("binary")))
+    first = x.groupBy("key").agg(F.min_by("doc_id", F.struct("label", "doc_id")).alias("first"))
+    heads = x.join(first, "key").where("doc_id = first")
+    near = D.near(heads.select("doc_id", "v"), 0.97).join(heads.select("doc_id", "label", "key"), "doc_id")
+    best = near.groupBy("root").agg(F.min_by("doc_id", F.struct("label", "doc_id")).alias("canonical"))
+    return x.select("doc_id", "key").join(near.select("key", "root"), "key").join(best, "root").select(F.col("doc_id").alias("vec_id"), "canonical")
+
+
 def _members(t: Tables, found: DataFrame) -> DataFrame:
     return found.join(vectors(t), "doc_id")
 

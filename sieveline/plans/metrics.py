@@ -240,7 +240,11 @@ def j15_three_way_join(t: Tables) -> DataFrame:
     return r.select("query_id", "n", *(F.round(c, 6).alias(c) for c in ("ra", "rb", "rc")), F.round(F.greatest("ra", "rb", "rc"), 6).alias("best"))
 
 
-@query(f"{RUNS}, x AS (SELECT query_id, doc_id, grade, rank FROM j JOIN a USING (query_id, doc_id)) SELECT coalesce(CAST(query_id % 3 AS VARCHAR), 'all') AS archetype, count(*) AS n, round(avg(CASE WHEN grade >= 2 THEN 1.0 ELSE 0 END), 6) AS precision FROM x GROUP BY GROUPING SETS ((query_id % 3), ())")
+@query(f"{RUNS}, {RECALL}, p AS (SELECT query_id, count(*) FILTER (WHERE grade >= 2 AND rank <= 10) / 10.0 AS p10, count(*) FILTER (WHERE grade = 0 AND rank <= 10) / 10.0 AS bad FROM j JOIN a USING (query_id, doc_id) GROUP BY query_id), x AS (SELECT query_id, ra, rb, coalesce(p10, 0) AS p10, coalesce(bad, 0) AS bad FROM h LEFT JOIN p USING (query_id)) SELECT CASE grouping(query_id // 20 % 3) WHEN 1 THEN 'all' ELSE CAST(query_id // 20 % 3 AS VARCHAR) END AS archetype, count(*) AS n, round(avg(ra), 6) AS recall, round(avg(rb), 6) AS other_recall, round(avg(p10), 6) AS precision, round(avg(bad), 6) AS junk, count(*) FILTER (WHERE ra > rb) AS wins FROM x GROUP BY GROUPING SETS ((query_id // 20 % 3), ())")
 def m15_archetypes(t: Tables) -> DataFrame:
-    x = qrels(t).join(run(t, 100), M.KEY).withColumn("a", (F.col("query_id") % 3).cast("string"))
-    return x.rollup("a").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("grade") >= 2, 1.0).otherwise(0.0)), 6).alias("precision")).select(F.coalesce("a", F.lit("all")).alias("archetype"), "n", "precision")
+    """Recall of two runs, precision and junk at 10 and wins, by kind of query and over all."""
+    top = run(t, 10).join(qrels(t), M.KEY).groupBy("query_id").agg((F.count_if(F.col("grade") >= 2) / 10).alias("p10"), (F.count_if(F.col("grade") == 0) / 10).alias("bad"))
+    x = recalls(t).join(top, "query_id", "left").fillna(0.0, ["p10", "bad"]).withColumn("a", (F.floor(F.col("query_id") / 20) % 3).cast("string"))
+    means = {"recall": "ra", "other_recall": "rb", "precision": "p10", "junk": "bad"}
+    out = x.rollup("a").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(k) for k, c in means.items()), F.count_if(F.col("ra") > F.col("rb")).alias("wins"))
+    return out.select(F.coalesce("a", F.lit("all")).alias("archetype"), "n", *means, "wins")

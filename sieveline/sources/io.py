@@ -109,3 +109,28 @@ def jobs(raw: DataFrame, source: str) -> DataFrame:
     kind = T._parse_datatype_string(JOB)
     have = {f.name for f in raw.schema}
     return raw.select(*((F.col(f.name) if f.name in have else F.lit(source) if f.name == "source" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind))
+
+
+def matrix(spark: SparkSession, path: str, rows_per_part: int = 50_000) -> DataFrame:
+    """(row_id, v): the rows of a .npy matrix, read by ranges through a memory map.
+
+    The file must stand under this path on the driver, which reads its header, and on all
+    executors, as on a shared mount; convert it to Parquet once for repeated use.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    shape = np.load(path, mmap_mode="r").shape
+    if len(shape) != 2:
+        raise ValueError(f"{path} has {len(shape)} dimensions, not 2")
+
+    def run(batches):
+        for b in batches:
+            for first in b["id"].to_pylist():
+                part = np.load(path, mmap_mode="r")[first * rows_per_part : (first + 1) * rows_per_part].astype(np.float32)
+                ids = pa.array(np.arange(first * rows_per_part, first * rows_per_part + len(part)))
+                v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(1, shape[1]), dtype=np.int32)[: len(part) + 1]), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, v], names=["row_id", "v"])
+
+    parts = -(-shape[0] // rows_per_part)
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, "row_id long, v array<float>")

@@ -6,6 +6,9 @@ last one stopped, and runs until what is available is done.
 
 from __future__ import annotations
 
+import signal
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,3 +66,13 @@ def score_batches(scorer):
                 yield part.assign(score=scorer(part["query"].tolist(), part["text"].tolist()))
 
     return run
+
+
+def stop_on_signal(query: StreamingQuery, *signals: signal.Signals) -> None:
+    """Stop a stream when the process is asked to end (SIGTERM unless others are named).
+
+    The signal only starts a thread, which stops the query between batches' tasks; what is
+    not committed then is done again from the checkpoint. To be called in the main thread.
+    """
+    for s in signals or (signal.SIGTERM,):
+        signal.signal(s, lambda *_: threading.Thread(target=query.stop, daemon=True).start())
