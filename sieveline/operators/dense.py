@@ -8,16 +8,19 @@ choice is a window over these. Nothing is ever joined pairwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from .components import components
+from .storage import shared_folder
 
 QUERY_BYTES, ROWS = 64 << 20, 4096
 #: Vectors a side of a block of `near`.
@@ -38,6 +41,20 @@ def _passes(rows: DataFrame) -> int:
     return max(1, -(-(width["n"] or 0) * 8 * (width["rows"] or 0) // QUERY_BYTES))
 
 
+def _pass_by_pass(one: Callable[[int], tuple[DataFrame, Broadcast]], passes: int) -> DataFrame:
+    """The results of all passes. Of several, each is written to the shared folder and its queries are let go before the next one's are gathered."""
+    if passes == 1:
+        return one(0)[0]
+    root, out = "", []
+    for i in range(passes):
+        found, sent = one(i)
+        root = root or f"{shared_folder(found.sparkSession)}/sieveline/dense-{uuid.uuid4().hex}"
+        found.write.parquet(f"{root}/{i}")
+        sent.destroy()
+        out.append(found.sparkSession.read.schema(found.schema).parquet(f"{root}/{i}"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int] | None = None, same: bool = False, least: float | None = None, digits: int = 6, probing: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best by cosine, rounded; ties go by doc_id.
 
@@ -50,7 +67,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
     a, b = dims or (0, None)
     schema = "query_id long, doc_id long, score double"
 
-    def one(i: int) -> DataFrame:
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
         own = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
         rows = own.select(F.col("query_id").cast("long"), F.col("v").cast("array<double>")).toArrow()
         sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["v"].combine_chunks())))
@@ -86,9 +103,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: tuple[int, int]
             out = [(i, d, s) for i, (ss, dd) in zip(ids, best, strict=True) for s, d in zip(ss, dd, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-        return vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v"), *(["list"] if probing else [])).mapInArrow(run, schema)
+        return vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v"), *(["list"] if probing else [])).mapInArrow(run, schema), sent
 
-    found = reduce(DataFrame.unionByName, map(one, range(passes)))
+    found = _pass_by_pass(one, passes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -154,7 +171,7 @@ def near(vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
     passes = _passes(vectors)
     rows = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("v").cast("array<double>").alias("v"))
 
-    def one(i: int) -> DataFrame:
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
         own = (rows if passes == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i)).toArrow()
         sent = spark.sparkContext.broadcast((own["doc_id"].to_numpy(), _unit(_matrix(own["v"].combine_chunks()))))
 
@@ -175,9 +192,9 @@ def near(vectors: DataFrame, least: float, digits: int = 6) -> DataFrame:
             seen = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[seen], a))), pa.array(np.concatenate((ids[seen], b))), pa.array(np.concatenate((links[seen], np.zeros(len(a), np.int64))))], names=["a", "b", "links"])
 
-        return rows.mapInArrow(run, "a long, b long, links long")
+        return rows.mapInArrow(run, "a long, b long, links long"), sent
 
-    found = reduce(DataFrame.unionByName, map(one, range(passes))).groupBy("a", "b").agg(F.sum("links").alias("links"))
+    found = _pass_by_pass(one, passes).groupBy("a", "b").agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> b").select("a", "b"))
     links = found.where("a = b").select(F.col("a").alias("doc_id"), "links")
     x = rows.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(links, "doc_id", "left")

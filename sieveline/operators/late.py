@@ -6,14 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dense import _matrix
+from .dense import _matrix, _pass_by_pass, _passes
 
 
 def max_sim(queries: DataFrame, vectors: DataFrame, parts: int, k: int) -> DataFrame:
-    """Top k by Σ over query parts of the largest dot product with a document part."""
+    """Top k by Σ over query parts of the largest dot product with a document part. Queries beyond `QUERY_BYTES` go in passes."""
+    passes = _passes(queries)
+
+    def one(i: int) -> tuple[DataFrame, Broadcast]:
+        own = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        return _one_pass(own, vectors, parts, k)
+
+    found = _pass_by_pass(one, passes)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+
+
+def _one_pass(queries: DataFrame, vectors: DataFrame, parts: int, k: int) -> tuple[DataFrame, Broadcast]:
     rows = queries.select(F.col("query_id").cast("long"), F.col("v").cast("array<double>")).toArrow()
     sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["v"].combine_chunks())))
 
@@ -34,5 +46,4 @@ def max_sim(queries: DataFrame, vectors: DataFrame, parts: int, k: int) -> DataF
                 out[2] += s[cut].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
 
-    found = vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    return vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double"), sent

@@ -200,21 +200,23 @@ def b5_target_space_bags(t: Tables) -> DataFrame:
     return B.describe(run(t, 10), half).select("query_id", "n", F.round("specificity", 5).alias("specificity"))
 
 
-@query(f"""WITH d AS (SELECT term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct({content('text')})) AS term FROM benchmark) GROUP BY term), q AS (SELECT item_id, {content('text')} AS k FROM benchmark WHERE len({content('text')}) >= 2), e AS (SELECT item_id, k, (SELECT arg_max(t, lpad(CAST(100000 - df AS VARCHAR), 6, '0') || t) FROM (SELECT unnest(k) AS t) JOIN d ON d.term = t) AS entity FROM q),
-h AS (SELECT e.item_id, e.entity, count(*) AS hits FROM e JOIN documents ON contains(lower(text), entity) GROUP BY ALL) SELECT e.item_id, e.entity, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) >= 70 THEN 'easy' WHEN coalesce(hits, 0) >= 10 THEN 'mid' ELSE 'hard' END AS regime FROM e LEFT JOIN h USING (item_id)""")
+@query(f"""WITH {PAIRS}, {run_sql('r', 's', 100)}, d AS (SELECT doc_id, lower(text) AS x, list_distinct({content('text')}) AS k FROM documents WHERE doc_id IN (SELECT vec_id FROM e)), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(k) AS term FROM d) GROUP BY term), w AS (SELECT doc_id AS query_id, unnest(k) AS term FROM d WHERE doc_id % 20 = 0 AND len(k) >= 2),
+g AS (SELECT query_id, term AS entity FROM w JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, term) = 1), q AS (SELECT query_id, entity, list_filter(k, lambda t: t <> entity) AS others FROM g JOIN d ON doc_id = query_id),
+h AS (SELECT query_id, entity, count(x) FILTER (WHERE contains(x, entity) AND len(list_filter(others, lambda t: contains(x, t))) > 0) AS hits FROM q LEFT JOIN r USING (query_id) LEFT JOIN d USING (doc_id) GROUP BY ALL),
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY entity ORDER BY query_id) = 1), z AS (SELECT query_id, entity, hits, CASE WHEN hits >= 70 THEN 'easy' WHEN hits >= 10 THEN 'mid' ELSE 'hard' END AS regime FROM o) SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY regime ORDER BY query_id) <= 15""")
 def b17_regimes(t: Tables) -> DataFrame:
-    """Queries by how many texts hold their rarest word, as a substring.
-
-    Left out of the survey's B17: the dense top-100 run in which it counts, the condition
-    of a category word, one query per entity, and 15 queries per regime.
-    """
-    x = t.benchmark.select("item_id", T.content_tokens(F.col("text")).alias("k")).where(F.size("k") >= 2)
-    df = L.document_frequency(t.benchmark, T.content_tokens(F.col("text")))
-    e = x.select("item_id", F.explode("k").alias("term")).join(df, "term").groupBy("item_id").agg(F.max_by("term", F.struct(-F.col("df"), "term")).alias("entity"))
-    words = e.select("entity").distinct()
-    hits = t.documents.select(F.lower("text").alias("x")).join(F.broadcast(words), F.contains("x", F.col("entity"))).groupBy("entity").agg(F.count("*").alias("hits"))
-    n = F.coalesce("hits", F.lit(0))
-    return e.join(hits, "entity", "left").select("item_id", "entity", n.alias("hits"), F.when(n >= 70, "easy").when(n >= 10, "mid").otherwise("hard").alias("regime"))
+    """Queries by how many of their 100 nearest texts hold their rarest word and another of their words, as substrings; one per rarest word, 15 per regime."""
+    d = t.documents.join(vectors(t).select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lower("text").alias("x"), F.array_distinct(T.content_tokens(F.col("text"))).alias("k"))
+    df = d.select(F.explode("k").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    own = d.where((F.col("doc_id") % 20 == 0) & (F.size("k") >= 2)).select(F.col("doc_id").alias("query_id"), "k")
+    rarest = own.select("query_id", F.explode("k").alias("term")).join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("entity"))
+    q = rarest.join(own, "query_id").select("query_id", "entity", F.array_remove("k", F.col("entity")).alias("others"))
+    near = q.join(run(t, 100), "query_id", "left").join(d.select("doc_id", "x"), "doc_id", "left")
+    both = F.contains("x", F.col("entity")) & F.exists("others", lambda w: F.contains(F.col("x"), w))
+    hits = near.groupBy("query_id", "entity").agg(F.count_if(both).alias("hits"))
+    one = first_by(hits, ["entity"], ["query_id"]).withColumn("regime", F.when(F.col("hits") >= 70, "easy").when(F.col("hits") >= 10, "mid").otherwise("hard"))
+    place = F.row_number().over(Window.partitionBy("regime").orderBy("query_id"))
+    return one.withColumn("n", place).where("n <= 15").select("query_id", "entity", "hits", "regime")
 
 
 @query(f"WITH {PAIRS}, {QRELS}, v AS (SELECT y.query_id, y.doc_id FROM j y WHERE grade < 2 AND EXISTS (SELECT 1 FROM j x WHERE x.query_id = y.query_id AND x.grade >= 2 AND x.s < y.s)), p AS (SELECT j.doc_id % 2 = 0 AS feature, v.doc_id IS NOT NULL AS violates FROM j LEFT JOIN v USING (query_id, doc_id) WHERE grade < 2) SELECT count(*) FILTER (WHERE feature AND violates) AS a, count(*) FILTER (WHERE feature AND NOT violates) AS b, count(*) FILTER (WHERE NOT feature AND violates) AS c, count(*) FILTER (WHERE NOT feature AND NOT violates) AS d FROM p")

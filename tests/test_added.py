@@ -14,6 +14,7 @@ from sieveline.functions import text as T
 from sieveline.operators import dense as D
 from sieveline.operators import fusion as U
 from sieveline.operators import stats as S
+from sieveline.operators.late import max_sim
 from sieveline.plans import analysis, registry
 from sieveline.sources import io
 from sieveline.streaming import ledger
@@ -153,3 +154,12 @@ def test_a_signal_stops_a_stream(spark, tmp_path):
         assert q.awaitTermination(60) and not q.isActive
     finally:
         signal.signal(signal.SIGUSR1, before)
+
+
+def test_late_interaction_in_passes(spark, monkeypatch):
+    r = random.Random(6)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "doc_id long, v array<double>")
+    q = v.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, max_sim(q, v, 2, 5).collect()))
+    monkeypatch.setattr(D, "QUERY_BYTES", 200)
+    assert sorted(map(tuple, max_sim(q, v, 2, 5).collect())) == whole and len(whole) == 100
