@@ -2,10 +2,11 @@
 
 A writer stores any payload losslessly in the ancillary bytes of silent, checksummed
 Layer III frames of varying bitrate, behind an ID3v2 tag and a table frame (frame count,
-byte count and 100 seek points). The reader takes any MPEG-1/2/2.5 Layer I-III stream:
-it skips and parses tags, resynchronises on damaged bytes, verifies the 16-bit frame
-checksums, and gives exact durations (a fraction of a second) and the byte offset of
-each frame.
+byte count and 100 seek points). The reader takes MPEG-1/2/2.5 Layer I-III streams of
+stated bitrates: it skips and parses tags, resynchronises on damaged bytes, verifies the
+16-bit checksums of frames of all three layers, and gives exact durations (a fraction of
+a second, without the encoder's delay and padding where the table frame names them) and
+the byte offset of each frame. Free-format frames count as damage.
 
 Null texts count as empty. An empty text gives 64 zero bytes. Equal texts give equal
 streams. Rows are independent: ties, repeated rows and an empty table need nothing more,
@@ -51,14 +52,64 @@ def _crc_table() -> list[int]:
 
 CRC = _crc_table()
 
+# Bits of a Layer II allocation by subband, as (bits, subbands) runs.
+LAYER2_WIDE, LAYER2_NARROW, LAYER2_LOW = ((4, 11), (3, 12), (2, 7)), ((4, 2), (3, 10)), ((4, 4), (3, 7), (2, 19))
 
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
+
+def crc16(data: bytes, c: int = 0xFFFF) -> int:
     for b in data:
         c = ((c << 8) & 0xFFFF) ^ CRC[(c >> 8) ^ b]
     return c
 
 
+def crc16_bits(data: bytes, n: int, c: int = 0xFFFF) -> int:
+    """The checksum of the first n bits."""
+    c = crc16(data[: n // 8], c)
+    for i in range(n % 8):
+        top = c >> 15 ^ data[n // 8] >> (7 - i) & 1
+        c = (c << 1) & 0xFFFF ^ (CRC_POLYNOMIAL if top else 0)
+    return c
+
+
+def layer2_allocation(version: int, hz: int, kbps_per_channel: int) -> list[int]:
+    """Allocation bits of each coded subband of a Layer II frame."""
+    if version != 3:
+        runs, limit = LAYER2_LOW, 30
+    elif kbps_per_channel <= 48:
+        runs, limit = LAYER2_NARROW, 12 if hz == 32000 else 8
+    else:
+        runs, limit = LAYER2_WIDE, 30 if kbps_per_channel >= 96 and hz != 48000 else 27
+    return [bits for bits, n in runs for _ in range(n)][:limit]
+
+
+def protected_bits(frame: bytes, h: tuple) -> int:
+    """How many bits behind a frame's checksum it covers, besides the header's last two bytes."""
+    _, _, hz, side, _, layer, version, mono, kbps = h
+    if layer == 3:
+        return 8 * side
+    channels = 1 if mono else 2
+    joint = frame[3] >> 6 == 1
+    if layer == 1:
+        bound = 4 * (frame[3] >> 4 & 3) + 4 if joint else 32
+        return 4 * (bound * channels + 32 - bound)
+    widths = layer2_allocation(version, hz, kbps // channels)
+    bound = min(4 * (frame[3] >> 4 & 3) + 4, len(widths)) if joint else len(widths)
+    body, at, scales = int.from_bytes(frame[6:], "big"), 8 * len(frame[6:]), 0
+    for subband, width in enumerate(widths):
+        own = subband < bound
+        for _ in range(channels if own else 1):
+            at -= width
+            if at >= 0 and body >> at & (1 << width) - 1:
+                scales += 1 if own else channels
+    return 8 * len(frame[6:]) - at + 2 * scales
+
+
+def checksum_holds(frame: bytes, h: tuple) -> bool:
+    """Whether a protected frame's checksum is that of its header, and of its allocation, scale selection or side information."""
+    n = protected_bits(frame, h)
+    return n <= 8 * (len(frame) - 6) and struct.unpack(">H", frame[4:6])[0] == crc16_bits(frame[6:], n, crc16(frame[2:4]))
+
+
 def _parse_header(b: int) -> tuple | None:
     """(frame length, samples, rate, side-info bytes, protected, layer, version bits, mono, kbit/s) of a 32-bit header."""
     if b >> 21 != 0x7FF:
@@ -168,6 +219,9 @@ def read_table_frame(data: bytes, at: int, h: tuple) -> dict | None:
             if flags & bit:
                 out[name] = list(data[p : p + n]) if name == "toc" else int.from_bytes(data[p : p + n], "big")
                 p += n
+        if p + 24 <= at + h[0] and data[p : p + 4].isalnum():  # an encoder's name, at whose end its delay and padding stand in samples
+            both = int.from_bytes(data[p + 21 : p + 24], "big")
+            out |= {"encoder": data[p : p + 9].rstrip(b"\0 ").decode("latin-1"), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     p = at + 36
     if data[p : p + 4] == b"VBRI" and p + 26 <= len(data):
@@ -208,8 +262,8 @@ def decode(data: bytes) -> dict:
             continue
         length, n, hz, side, protected, layer, version, mono, rate = h
         locked = True
-        if protected and layer == 3:
-            right = struct.unpack(">H", data[at + 4 : at + 6])[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side])
+        if protected:
+            right = checksum_holds(data[at : at + length], h)
             good, bad = good + right, bad + (not right)
         kinds.add((version, layer, hz, mono))
         if not offsets and table is None and (table := read_table_frame(data, at, h)):
@@ -221,6 +275,8 @@ def decode(data: bytes) -> dict:
         ancillary.append(data[at + 4 + 2 * protected + side : at + length])
         at += length
     duration = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
+    if table and len(samples) == 1:
+        duration = max(Fraction(0), duration - Fraction(table.get("delay", 0) + table.get("padding", 0), *samples))
     return {"fields": fields, "offsets": offsets, "samples": samples, "duration": duration, "crc_good": good, "crc_bad": bad, "skipped": skipped, "resyncs": int(resyncs), "table": table, "data": ancillary, "kinds": kinds, "kbps": kbps}
 
 
